@@ -30,7 +30,7 @@ def per_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row count, source count, link sum and scores of every resolved target."""
-    return per_target(spark, sf_dir).where("linkid > 0").withColumn("score", F.round("score", 5))
+    return per_target(spark, sf_dir).where("linkid > 0").withColumn("score", F.round("score", 7))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,5 +50,5 @@ ORACLES = {
 SELECT src, linkid FROM l JOIN t USING (src) WHERE linkid > 0 GROUP BY src, linkid, total HAVING count(*) >= 0.01 * total""",
     "p5_targets": f"""WITH l AS ({_LINKS})
 SELECT src, linkid, count(*) AS n_rows, count(DISTINCT id) AS n_sources, CAST(sum(cnt) AS BIGINT) AS n_links,
-round(sum(score), 5) AS score, max(score) AS top_score FROM l WHERE linkid > 0 GROUP BY src, linkid""",
+round(sum(score), 7) AS score, max(score) AS top_score FROM l WHERE linkid > 0 GROUP BY src, linkid""",
 }
