@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cairn.llm import term_tables
+from cairn.llm import packing, term_tables, tokenizing
 
-_MODULES = [term_tables]
+_MODULES = [term_tables, tokenizing, packing]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
