@@ -138,10 +138,10 @@ def _latin(words: list[str]) -> bool:
 
 
 def judge(segment: str) -> str:
-    """One of template, filler, error, script, prose, neutral, empty."""
+    """One of template, filler, error, script, prose, neutral, symbols (a run without letters), empty."""
     s = segment.strip()
     if not s or not any(c.isalnum() for c in s):
-        return "filler" if len(s) >= 8 and len(set(s)) == 1 and s[0] not in "=-_~*#+.─—" else "empty"
+        return "symbols" if len(s) >= 24 and len(set(s)) <= 4 else "empty"
     if _USAGE.search(segment):
         return "prose"
     if _NEUTRAL.search(s):
@@ -175,7 +175,7 @@ def assess(text: str | None) -> tuple[str | None, float]:
     """
     if text is None or not text.strip():
         return None, 0.0
-    size = {"template": 0, "filler": 0, "error": 0, "script": 0, "prose": 0}
+    size = {"template": 0, "filler": 0, "error": 0, "script": 0, "prose": 0, "symbols": 0}
     free: list[int] = []
     body = _FENCE.sub(lambda m: "\n", text)
     size["prose"] += len(text) - len(body)
@@ -194,7 +194,9 @@ def assess(text: str | None) -> tuple[str | None, float]:
     if size["prose"] > hopeless:
         return None, 0.0
     size["prose"] += sum(sorted(free)[: max(0, len(free) - FREE_LINES)])
-    residue = sum(v for k, v in size.items() if k != "prose")
+    if size["symbols"] and not size["prose"]:
+        size["filler"] += size["symbols"]  # symbols alone fill a text; beside prose they are only ornament
+    residue = sum(size[k] for k in ("template", "filler", "error", "script"))
     if not residue:
         return None, 0.0
     density = residue / (residue + size["prose"])

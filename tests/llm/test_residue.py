@@ -15,6 +15,7 @@ RESIDUE = [
     ("Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "filler"),
     ("name\n\n" + "abc" * 30, "filler"),
     ("sample text " * 20, "filler"),
+    ("Title\n\n" + "-=" * 40, "filler"),
 ]
 REAL = [
     "A notice asked visitors to enable JavaScript before the bias would open. The matrix was split into 194 folds and one fold was left out.",
@@ -32,7 +33,7 @@ def test_residue(text, kind):
     assert assess(text)[0] == kind
 
 
-@pytest.mark.parametrize("text", [*REAL, "", "   ", None, "?????" * 20])
+@pytest.mark.parametrize("text", [*REAL, "", "   ", None, "?????", "A heading of some words\n" + "=" * 40 + "\n\nThe guild sold 766 pieces of cloth."])
 def test_real_text(text):
     assert assess(text) == (None, 0.0)
 
