@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cairn.llm import markup, packing, residue, similar, term_tables, tokenizing
+from cairn.llm import markup, packing, residue, similar, spectral, term_tables, tokenizing
 
-_MODULES = [markup, term_tables, tokenizing, packing, residue, similar]
+_MODULES = [markup, term_tables, tokenizing, packing, residue, similar, spectral]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
