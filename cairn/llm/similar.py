@@ -82,16 +82,17 @@ def sketch(dims: list, values: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def _chunked(blocks: DataFrame, chunk: int) -> DataFrame:
-    """Rows with their block's chunk pairs (c1 <= c2): a block of at most ``chunk`` rows is one pair (0, 0).
+    """Rows of blocks of two or more, with ``task``: their block and one of its chunk pairs (c1 <= c2).
 
-    Row counts per block come from a mergeable count; a crowded block's rows are copied once per chunk, so that no
-    task holds more than two chunks and every pair of rows meets in exactly one chunk pair.
+    A block of at most ``chunk`` rows is one pair (0, 0). A crowded block's rows are copied once per chunk, so that no
+    task holds more than two chunks and every pair of rows meets in exactly one chunk pair. Grouping goes by the
+    task's own name, so the pairs of a crowded block spread over the cluster.
     """
-    crowded = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > chunk).select("block", F.ceil(F.col("rows") / chunk).cast("int").alias("chunks"))
-    rows = blocks.join(F.broadcast(crowded), "block", "left")  # at most rows / chunk crowded blocks
-    mine = F.pmod(F.xxhash64("key"), F.coalesce("chunks", F.lit(1))).cast("int")
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("chunks"), F.lit(1)) - 1)))
-    return rows.withColumn("c1", F.least("mine", "other")).withColumn("c2", F.greatest("mine", "other")).drop("chunks", "other")
+    sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = blocks.join(sizes, "block").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.withColumn("c1", F.least("mine", "other")).withColumn("c2", F.greatest("mine", "other"))
+    return rows.withColumn("task", F.concat_ws("/", "block", "c1", "c2")).drop("block", "n", "chunks", "other")
 
 
 def _pairs_inside(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -153,7 +154,7 @@ def within_distance(points: DataFrame, radius: float, size: int, chunk: int = CH
         return pd.DataFrame(found, columns=["key_a", "key_b"])
 
     blocks = cut(points.mapInPandas(cells, "block string, key string, v array<double>"))
-    return _chunked(blocks, chunk).groupBy("block", "c1", "c2").applyInPandas(search, "key_a string, key_b string").distinct()
+    return _chunked(blocks, chunk).groupBy("task").applyInPandas(search, "key_a string, key_b string").distinct()
 
 
 def _exact_cosine(a_dims, a_v, b_dims, b_v) -> float:
@@ -214,7 +215,7 @@ def above_cosine(vectors: DataFrame, threshold: float, chunk: int = CHUNK) -> Da
                 out_b.append(np.maximum(i, j)[keep])
         return pd.DataFrame({"a": np.concatenate(out_a) if out_a else np.zeros(0, np.int64), "b": np.concatenate(out_b) if out_b else np.zeros(0, np.int64)})
 
-    chosen = _chunked(blocks, chunk).groupBy("block", "c1", "c2").applyInPandas(search, "a long, b long").distinct()
+    chosen = _chunked(blocks, chunk).groupBy("task").applyInPandas(search, "a long, b long").distinct()
 
     def rerank(batches):
         for pdf in batches:
