@@ -67,3 +67,14 @@ def to_int(text: Column | str) -> Column:
 def to_double(text: Column | str) -> Column:
     """The leading number of a string, 0 where there is none."""
     return F.coalesce(F.regexp_extract(_col(text), r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1).try_cast("double"), F.lit(0.0))
+
+
+#: How a number may be spelled; words such as nan or inf, suffixes and thousands marks are none.
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
+def strict_number(text: Column | str) -> Column:
+    """The finite number that a whole string spells, else null."""
+    t = _col(text)
+    value = F.when(t.rlike(NUMBER), F.trim(t).try_cast("double"))
+    return F.when(F.abs(value) < F.lit(float("inf")), value)
