@@ -183,7 +183,7 @@ def cop_kmeans(points: DataFrame, constraints: DataFrame, k: int, iterations: in
     ties = cut(ties.distinct())
     if not is_empty(ties.where("a = b")):
         raise Infeasible("a cannot pair is joined by must pairs")
-    component = must_closure(ties.select("a", "b", F.lit("m").alias("kind"))).withColumnsRenamed({"key": "block", "block": "component"})
+    component = must_closure(ties.select("a", "b", F.lit("m").alias("kind"))).select(F.col("key").alias("block"), F.col("block").alias("component"))
     partners = ties.groupBy(F.col("a").alias("block")).agg(F.sort_array(F.collect_set("b")).alias("cannot"))
     placed = points.select("key", "v").join(blocks, "key", "left").withColumn("block", F.coalesce("block", "key"))
     placed = cut(placed.join(component, "block", "left").join(partners, "block", "left"))

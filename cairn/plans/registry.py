@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cairn.plans import graphs, skewed_links, texts
+from cairn.plans import graphs, skewed_links, texts, vectors
 
-_MODULES = [skewed_links, texts, graphs]
+_MODULES = [skewed_links, texts, graphs, vectors]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
