@@ -19,7 +19,8 @@ def pivots(vectors: DataFrame, count: int, seed: int = 1) -> DataFrame:
 
     chosen = vectors.orderBy(digest("key", seed), "key").limit(count)
     order = Window.orderBy(digest("key", seed), "key")  # over ``count`` rows
-    return chosen.select((F.row_number().over(order) - 1).alias("pivot"), F.explode("v").alias("dim", "x"))
+    numbered = chosen.select("v", (F.row_number().over(order) - 1).alias("pivot"))
+    return numbered.select("pivot", F.explode("v").alias("dim", "x"))
 
 
 def signatures(vectors: DataFrame, count: int, seed: int = 1) -> DataFrame:
