@@ -35,3 +35,15 @@ def neighbours(ranked: DataFrame, group: str, key: str, reach: int, rank: str =
     window = Window.partitionBy("bucket").orderBy("r").rowsBetween(1, reach)
     near = shown.withColumn("near", F.collect_list(F.struct("g", "a")).over(window)).where("home = bucket")
     return near.select("g", "a", F.explode("near").alias("n")).where("g = n.g").select(F.col("g").alias(group), "a", F.col("n.a").alias("b"))
+
+
+def running_total(df: DataFrame, order: Sequence[str], value: str, name: str = "upto") -> DataFrame:
+    """``df`` with the running sum of ``value`` up to and including each row in ``order`` (a unique key).
+
+    Each range partition sums its own rows; the totals of the partitions before are added.
+    """
+    placed = cut(df.repartitionByRange(*order).select("*", F.spark_partition_id().alias("__p")))
+    sums = placed.groupBy("__p").agg(F.sum(value).alias("s"))
+    before = F.coalesce(F.sum("s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum(value).over(Window.partitionBy("__p").orderBy(*order))
+    return placed.withColumn("__in", inside).join(F.broadcast(sums.select("__p", before.alias("__before"))), "__p").withColumn(name, F.col("__in") + F.col("__before")).drop("__p", "__in", "__before")

@@ -85,6 +85,14 @@ def ratio_match(left: DataFrame, right: DataFrame, key: str, sign: str, vec: str
     """
     other = F.broadcast(right.select(F.col(key).alias("other"), F.col(sign).alias("s"), F.col(vec).alias("w")))
     near = left.join(other, (F.col(sign) == F.col("s")), "left").select(key, "other", F.sqrt(squared_euclid(vec, "w")).alias("d"))
-    best = near.groupBy(key).agg(F.min(F.when(F.col("other").isNotNull(), F.struct("d", "other"))).alias("first"), F.slice(F.array_sort(F.collect_list(F.when(F.col("other").isNotNull(), F.col("d")))), 2, 1).alias("second"))
-    second = F.coalesce(F.try_element_at("second", F.lit(1)), F.lit(none))
+    candidate = F.when(F.col("other").isNotNull(), F.struct("d", "other"))
+    best = near.groupBy(key).agg(F.min(candidate).alias("first"), F.array_sort(bounded_two(F.coalesce(candidate, F.struct(F.lit(none).alias("d"), F.lit(None).cast("bigint").alias("other"))))).alias("two"))
+    second = F.coalesce(F.try_element_at("two", F.lit(2))["d"], F.lit(none))
     return best.select(key, F.when(F.col("first.d") < ratio * second, F.col("first.other")).otherwise(F.lit(-1)).cast("bigint").alias("match"))
+
+
+def bounded_two(value: Column) -> Column:
+    """Aggregate: the two smallest values of a group in a bounded heap."""
+    from pyspark.sql.internal import InternalFunction
+
+    return InternalFunction._invoke_internal_function_over_columns("collect_top_k", value, F.lit(2), F.lit(True))
