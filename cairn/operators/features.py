@@ -113,10 +113,10 @@ def stratified_split(rows: DataFrame, label: str, key: str, share: float = 0.9,
     Places come from a range partitioning over (class, order), so a class of any size needs no single task.
     """
     ranked = global_rank(rows.select(key, label, digest(key, f"split{seed}").alias("__o")), [label, "__o", key])
-    classes = ranked.groupBy(label).agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n"))
-    train = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(share)))
-    same = ranked[label].eqNullSafe(classes[label])
-    return ranked.join(F.broadcast(classes), same).select(key, ranked[label], F.when(F.col("rank") - F.col("first") < train, "train").otherwise("test").alias("split"))
+    classes = ranked.groupBy(F.col(label).alias("__label")).agg(F.min("rank").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    train = F.greatest(F.lit(1), F.floor(F.col("__n") * F.lit(share)))
+    joined = ranked.join(classes, F.col(label).eqNullSafe(F.col("__label")))
+    return joined.select(key, label, F.when(F.col("rank") - F.col("__first") < train, "train").otherwise("test").alias("split"))
 
 
 def bernoulli(rows: DataFrame, key: str, rate: float, seed: int = 1) -> DataFrame:
@@ -128,7 +128,6 @@ def naive_bayes_accuracy(bags: DataFrame, label: str, key: str, word: str, n: st
     """One row (n_test, accuracy): multinomial naive Bayes on hashed bags of words, trained on the train rows."""
     from pyspark.ml.classification import NaiveBayes
     from pyspark.ml.feature import StringIndexer
-    from pyspark.ml.functions import array_to_vector  # noqa: F401
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
     slots = bags.groupBy(key, F.pmod(F.xxhash64(word), F.lit(features)).cast("int").alias("slot")).agg(F.sum(n).cast("double").alias("x"))
