@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -62,8 +63,9 @@ FILLER = r"""
 |\b(?:placeholder|sample|dummy|filler)\ (?:copy|text|content)\b|\btest\ test\b|\btext\ text\b|\bfoo\ bar\b|\basdf\w*|\bqwert?\w*\ ?\w*|\bblah?\ ?blah?\b|\bx{3,}\b(?:\ x{3,})*
 |\btexte\ (?:d['’]exemple|fictif|factice|bidon)|\bfaux\ texte\b|\bblabla\b|\bbla\ bla\b|\b(?:blind|muster|beispiel|platzhalter|füll)text\w*|\bplatzhalter\b
 |ダミー(?:テキスト|文章?)?|(?:テスト){2,}|(?:サンプル|仮の)(?:テキスト|文章?|文字)|(?:文字){2,}|(?:ほげ){1,}|(?:ふが){1,}|あいうえお
-|([^\W_]{1,6}?)\1{7,}|(\b\w+(?:\ \w+){0,2}\ )\2{5,}
 """
+#: The same few letters or words over and over.
+RUNS = r"([^\W_]{1,6}?)\1{7,}|(\b\w+(?:\ \w+){0,2}\ )\2{5,}"
 #: Latin look-alike words of filler (fixed values); a segment made of them is filler even without "lorem".
 LATIN = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat "
@@ -78,7 +80,7 @@ ERRORS = r"""
 |\bcheck\ the\ (?:spelling|address|url)\b|\bgo\ back\ to\ the\ (?:start|home|main)\b|\bcontact\ the\ (?:operator|administrator|webmaster)\b|\btoo\ many\ requests\b|\bmade\ \d+\ requests\b|\b(?:rate|request)\ limit\b|\bcould\ not\ (?:read|connect|open|load|be\ (?:found|loaded|displayed|reached))\b|\bcan(?:'t|not)\ (?:reach|connect|be\ (?:displayed|reached|found))
 |\b[\w.]*(?:exception|error):?(?:\s|$)(?=.*(?:\bat\ |:|$))(?<=exception)|\b\w+(?:\.\w+)+exception\b|^\s*at\ [\w$.<>]+\([\w.]*:?\d*\)|\bsqlstate\b|^\s*(?:warning|fatal\ error|notice|parse\ error|traceback)\b.{0,20}[:(]|\bmysql_\w+\(|\bstack\ ?trace\b|\bsegmentation\ fault\b|\bconnection\ (?:refused|reset|failed|closed)\b
 |\b(?:under|scheduled|for)\ maintenance\b|\bwe(?:'ll|\ will)?\ (?:are|be)\ (?:back|sorry|down)|\bthis\ takes\ up\ to\ \d+|\bhas\ been\ (?:deleted|removed|suspended)\b|\bsubscription\ required\b|\bto\ read\ this\ article\b|\bapologi[sz]e\ for
-|\b(?:is|are|was)\ (?:currently\ )?not\ available\b|\bis\ being\ (?:rebuilt|updated|moved)|\bcome\ back\ later\b|\b(?:could|can)\ ?n(?:o|['’])t\ (?:find|be)\b|\bcannot\ be\b|\brefused\ the\ connection|\breturned\ an\ (?:empty|invalid)|\bhas\ been\ (?:moved|archived)|\bfailed\ with\ (?:code|error|status)|\bout\ of\ memory\b|\bfatal\ error\b|\b(?:request|ray)\ (?:id\b|[0-9a-f]{6,})|\bstack\ trace\ logged|^\W*(?:sorry|unfortunately|oops|whoops)\b|^\W*notice:|^\s*file\ ".{0,60}",\ line\ \d+|^\s*\w*(?:error|exception):\s|^\W*null\W*$
+|\b(?:is|are|was)\ (?:currently\ )?not\ available\b|\bis\ being\ (?:rebuilt|updated|moved)|\bcome\ back\ later\b|\b(?:could\ not|couldn't|couldn’t|cannot|can\ not|can't|can’t)\ (?:find|be)\b|\brefused\ the\ connection|\breturned\ an\ (?:empty|invalid)|\bhas\ been\ (?:moved|archived)|\bfailed\ with\ (?:code|error|status)|\bout\ of\ memory\b|\bfatal\ error\b|\brequest\ (?:id\b|[0-9a-f]{6,})|\bray\ [0-9a-f]{6,}|\bstack\ trace\ logged|^\W*(?:sorry|unfortunately|oops|whoops)\b|^\W*notice:|^\s*file\ ".{0,60}",\ line\ \d+|^\s*\w*(?:error|exception):\s|^\W*null\W*$
 |\bnicht\ (?:gefunden|verfügbar|erreichbar|vorhanden)\b|\bexistiert\ nicht\b|\bzugriff\ (?:verweigert|gesperrt|verboten)|\bkeine\ (?:berechtigung|zugriffsrechte)|\bwartung(?:s\w+)?\b|\bversuchen\ sie\ es\b|\bsitzung\b.{0,20}\babgelaufen|\bmelden\ sie\ sich\b.{0,12}\ban\b|\banmeldung\ erforderlich|\bserverfehler\b|\bzeitüberschreitung\b|\bverschoben\ oder\ gelöscht\b|\bgelöscht\ oder\ verschoben\b|\bprüfen\ sie\ die\b|\bfehler(?:code|nummer)?\W{0,3}\d{2,}|\betwas\ ist\ schief|\bzu\ viele\ anfragen\b|\bvorgangs(?:nummer|kennung)\b|\bgibt\ es\ (?:hier\ )?nicht|\b(?:kann|konnte|können)\b.{0,30}\bnicht\ (?:\w+\ )?(?:angezeigt|geladen|gefunden|erreicht|geöffnet)|\b(?:derzeit|zurzeit|momentan|gerade)\ nicht\b|^\W*leider\b|^\W*(?:hinweis|achtung|entschuldigung):|\bkommen\ sie\ später|\bnicht\ mehr\ (?:da|vorhanden)|\bwurde\ (?:gelöscht|entfernt|verschoben)|\bgesperrt\b
 |\bintrouvable\b|\bn['’]existe\ (?:pas|plus)\b|\baccès\ (?:refusé|interdit|limité)|\bpas\ (?:l['’]autorisation|autorisée?)\b|\bindisponible\b|\ben\ maintenance\b|\bréessayer\b|\bréessayez\b|\berreur\W{0,3}(?:interne|du\ serveur|n[o°]\W*)?\W{0,3}\d{2,}|\berreur\ (?:interne|du\ serveur)|\bsession\ (?:a\ )?expirée?|\b(?:vous\ )?reconnecter\b|\bconnexion\ (?:requise|refusée|impossible)|\bvérifie[zr]\ l['’](?:adresse|orthographe)|\bdéplacée?\ ou\ supprimée?|\bsupprimée?\ ou\ déplacée?|\btrop\ de\ requêtes\b|\béchec\ d[ue]\b|\bmomentanément\b|\bn['’](?:a|ont)\ pas\ pu\b|\bne\ (?:peut|peuvent)\ (?:pas\ )?être\b|\bdossier\ [0-9a-f]{6,}|^\W*(?:désolée?|malheureusement|avis\ ?:|oups)\b|\brevenez\ plus\ tard|\ba\ été\ (?:supprimée?|déplacée?)|\bdélai\ dépassé|\bune\ erreur\ (?:est|s['’]est)
 |見つかりません|見つかりませんでした|存在しません|(?:項目|頁|記事|画像|文書|ファイル)は?(?:あり|削除|移動)|はありません$|アクセス.{0,12}(?:拒否|禁止|できません|制限)|権限が(?:あり|必要)|エラー(?:コード|番号|が発生|\s*\d)|サーバー?.{0,10}(?:応答|エラー|障害)|メンテナンス|しばらく(?:して|たって|お待ち)|再度お試し|お試しください|期限が切れ|もう一度ログイン|ログインが?必要|再ログイン|ご確認ください|削除され(?:まし)?た|移動または|利用(?:でき|いただけ)ません|表示できません|読み込めません|(?:問題|障害|不具合)が発生|接続できません|予定時間|最大\d+秒|混み合って|混雑|タイムアウト|受付番号|問い合わせ番号|お知らせ[:：]|アクセスが集中|禁止されて|ブロックされ
@@ -110,7 +112,7 @@ def _compile(pattern: str) -> re.Pattern:
 
 
 _PLACEHOLDERS = {k: re.compile(v) for k, v in PLACEHOLDERS.items()}
-_INSTRUCTIONS, _FILLER, _ERRORS, _SCRIPTS, _NEUTRAL, _MENTION = map(_compile, (INSTRUCTIONS, FILLER, ERRORS, SCRIPTS, NEUTRAL, MENTION))
+_INSTRUCTIONS, _FILLER, _ERRORS, _SCRIPTS, _NEUTRAL, _MENTION, _RUNS = map(_compile, (INSTRUCTIONS, FILLER, ERRORS, SCRIPTS, NEUTRAL, MENTION, RUNS))
 _TAG = re.compile(r"</?(?:" + "|".join(_ELEMENTS) + r")\b[^<>\n]*>|<!--.*?-->|<!doctype[^<>]*>", re.IGNORECASE | re.DOTALL)
 _FENCE = re.compile(r"^[ \t]*(```|~~~).*?^[ \t]*\1[ \t]*$", re.MULTILINE | re.DOTALL)
 _USAGE = re.compile(r"^\s*(?:usage:|options:|synopsis|-{1,2}\w[\w-]*[ ,=<\[{$]|\$ \w)|^\s*exit status|\[-\w|^(?: {2,}|\t)(?:-|\w+\s*[({=]|<\w+>\s{2,})", re.IGNORECASE)
@@ -120,6 +122,67 @@ _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _END = re.compile(r"[.!?。！？…][\"”“»」)）]*\s*$")
 
 
+def required_literals(pattern: str) -> set[str] | None:
+    """Lower-case strings of which every match of ``pattern`` (verbose, ignoring case) holds at least one; None if unknown.
+
+    Read off the parsed pattern: of a sequence the item whose shortest string is longest, of alternatives all of them.
+    """
+    from re import _parser as parser
+
+    def of(items) -> set[str] | None:
+        best: set[str] | None = None
+        run = ""
+
+        def offer(found: set[str] | None) -> None:
+            nonlocal best
+            if found and (best is None or min(map(len, found)) > min(map(len, best))):
+                best = found
+
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                run += chr(arg).lower()
+                continue
+            offer({run} if run else None)
+            run = ""
+            if name == "SUBPATTERN":
+                offer(of(arg[3]))
+            elif name == "BRANCH":
+                each = [of(branch) for branch in arg[1]]
+                offer(None if any(x is None for x in each) else set().union(*each))
+            elif name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] >= 1:
+                offer(of(arg[2]))
+        offer({run} if run else None)
+        return best
+
+    return of(parser.parse(pattern, re.IGNORECASE | re.VERBOSE))
+
+
+@lru_cache(maxsize=1)
+def _triggers():
+    """One automaton over the literals that the four residue patterns require, or None where it can't be built.
+
+    A segment without any of a pattern's literals cannot match it, so the pattern needn't run.
+    """
+    try:
+        import ahocorasick
+
+        masks: dict[str, int] = {}
+        for bit, pattern in enumerate((INSTRUCTIONS, SCRIPTS, ERRORS, FILLER)):
+            literals = required_literals(pattern)
+            if not literals:
+                return None
+            for x in literals:
+                masks[x] = masks.get(x, 0) | 1 << bit
+        automaton = ahocorasick.Automaton()
+        for x, mask in masks.items():
+            automaton.add_word(x, mask)
+        automaton.make_automaton()
+        return automaton
+    except (ImportError, AttributeError):
+        return None
+
+
 def placeholders(segment: str) -> list[str]:
     """The delimiter kinds of the placeholders in ``segment``, one entry per placeholder."""
     found = []
@@ -158,8 +221,13 @@ def judge(segment: str) -> str:
         return "template"
     if _latin(words):
         return "filler"
-    for kind, pattern in (("template", _INSTRUCTIONS), ("script", _SCRIPTS), ("error", _ERRORS), ("filler", _FILLER)):
-        if pattern.search(s):
+    automaton, mask = _triggers(), 15
+    if automaton is not None:
+        mask = 0
+        for _, bits in automaton.iter(s.lower()):
+            mask |= bits
+    for bit, (kind, pattern) in enumerate((("template", _INSTRUCTIONS), ("script", _SCRIPTS), ("error", _ERRORS), ("filler", _FILLER), ("filler", _RUNS))):
+        if (bit == 4 or mask >> bit & 1) and pattern.search(s):
             if not pattern.search(open_text) or mention and kind != "template":
                 return "prose"
             return kind
