@@ -77,6 +77,7 @@ def update(assigned: DataFrame, centroids: Sequence[Sequence[float]], empty: str
 
 def kmeans(points: DataFrame, k: int, iterations: int = 100, init: str = "smart", distance: Distance = squared_euclid, empty: str = "keep", seed: int = 1) -> tuple[DataFrame, list[list[float]]]:
     """Lloyd iterations until no assignment changes: ((key, v, cluster), centroids)."""
+    points = cut(points.select("key", "v"))  # read once, walked many times
     centroids = seed_centroids(points, k, seed, distance) if init == "smart" else random_centroids(points, k, seed)
     if not centroids:
         return points.select("key", "v", F.lit(0).alias("cluster")).limit(0), []

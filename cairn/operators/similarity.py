@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cairn.functions.seeded import digest
 from cairn.functions.vectors import squared_euclid
 from cairn.operators.ranking import global_rank, neighbours
+from cairn.runtime import cut
 
 
 def pivots(vectors: DataFrame, count: int, seed: int = 1) -> DataFrame:
@@ -47,7 +48,7 @@ def lsh_candidates(vectors: DataFrame, count: int = 10, shuffles: int = 5, reach
     For each shuffle the bits are permuted, rows sorted by (bits, key), and every row meets those within ``reach``
     positions. With fewer vectors than ``count`` all of them are pivots.
     """
-    signed = signatures(vectors, count, seed)
+    signed = signatures(cut(vectors), count, seed)
     orders = F.array(*[F.struct(F.lit(s).alias("shuffle"), F.array(*[F.lit(i + 1) for i in permutation(count, s, seed)]).alias("order")) for s in range(shuffles)])
     each = signed.select("key", "bits", F.explode(orders).alias("o"))
     sorted_bits = F.array_join(F.transform("o.order", lambda i: F.element_at("bits", i)), "")
@@ -57,16 +58,20 @@ def lsh_candidates(vectors: DataFrame, count: int = 10, shuffles: int = 5, reach
 
 
 def sparse_cosines(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, cos) of given pairs of (key, v MAP) vectors."""
-    from cairn.functions.vectors import sparse_cosine
+    """(a, b, cos) of given pairs of (key, v MAP) vectors; 0 where a norm is 0.
 
-    left = vectors.select(F.col("key").alias("a"), F.col("v").alias("va"))
-    right = vectors.select(F.col("key").alias("b"), F.col("v").alias("vb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", sparse_cosine("va", "vb").alias("cos"))
+    Norms are computed once per vector; a pair's inner product looks each entry of one map up in the other.
+    """
+    from cairn.functions.vectors import sparse_dot, sparse_norm
+
+    sized = cut(vectors.select("key", "v", sparse_norm("v").alias("n")))
+    left, right = sized.toDF("a", "va", "na"), sized.toDF("b", "vb", "nb")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", F.coalesce(F.try_divide(sparse_dot("va", "vb"), F.col("na") * F.col("nb")), F.lit(0.0)).alias("cos"))
 
 
 def lsh_pairs(vectors: DataFrame, threshold: float = 0.7, count: int = 10, shuffles: int = 5, reach: int = 5, seed: int = 1) -> DataFrame:
     """(a, b, cos) of candidate pairs with cosine above ``threshold``, exact copies included."""
+    vectors = cut(vectors)  # decoded once, used for signatures and twice for the exact cosines
     return sparse_cosines(vectors, lsh_candidates(vectors, count, shuffles, reach, seed)).where(F.col("cos") > threshold)
 
 

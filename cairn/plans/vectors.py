@@ -12,6 +12,7 @@ from cairn.functions.seeded import digest, uniform_sql
 from cairn.functions.text import NUMBER, strict_number
 from cairn.operators import cluster, nmf, similarity
 from cairn.operators.similarity import permutation
+from cairn.runtime import cut
 from cairn.sources.readers import mirrored, sparse_vector
 from cairn.sources.tables import table
 
@@ -111,19 +112,19 @@ K = 4
 
 def kmeanspp_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The seeds of k-means++ with their numbers and first coordinate."""
-    seeds = cluster.seed_centroids(_points(spark, sf_dir), K)
+    seeds = cluster.seed_centroids(cut(_points(spark, sf_dir)), K)
     return spark.createDataFrame([(i, c[0], c[-1]) for i, c in enumerate(seeds)], "cluster int, first double, last double")
 
 
 def kmeans_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One assignment to the seeds."""
-    points = _points(spark, sf_dir)
+    points = cut(_points(spark, sf_dir))
     return cluster.assign(points, cluster.seed_centroids(points, K)).select("key", "cluster")
 
 
 def kmeans_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster means after one assignment."""
-    points = _points(spark, sf_dir)
+    points = cut(_points(spark, sf_dir))
     seeds = cluster.seed_centroids(points, K)
     means = cluster.update(cluster.assign(points, seeds), seeds)
     return spark.createDataFrame([(i, round(c[0], 6), round(c[-1], 6)) for i, c in enumerate(means)], "cluster int, first double, last double")

@@ -48,8 +48,9 @@ def sparse_vector(value: Column, delimiter: str = r"\t", limit: int | None = Non
     pairs = _pairs(F.split(value, delimiter), 1)
     if limit is not None:
         pairs = F.slice(pairs, 1, limit)
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(last)
+    # bound to a lambda's variable, the pairs are decoded once and not for every element
+    last = lambda e: F.filter(e, lambda p, i: ~F.exists(F.slice(e, i + 2, F.size(e)), lambda q: q["key"] == p["key"]))
+    return F.transform(F.array(pairs), lambda e: F.map_from_entries(last(e)))[0]
 
 
 def sparse_tsv(spark: SparkSession, path: Paths, label: str = "label") -> DataFrame:
@@ -59,19 +60,10 @@ def sparse_tsv(spark: SparkSession, path: Paths, label: str = "label") -> DataFr
 
 
 def feature_index(vectors: DataFrame, key: str = "key") -> DataFrame:
-    """(key, index): a dictionary of the keys in order of their names, numbered from 0 without a single-task sort.
+    """(key, index): a dictionary of the keys in order of their names, numbered from 0 without a single-task sort."""
+    from cairn.operators.ranking import global_rank
 
-    Ranges of keys are numbered inside their partition and shifted by the counts of the partitions before.
-    """
-    keys = vectors.select(key).distinct().repartitionByRange(key).sortWithinPartitions(key)
-    from cairn.runtime import cut
-
-    placed = cut(keys.select(key, F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m")))
-    sizes = placed.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("first"))
-    from pyspark.sql import Window
-
-    before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per partition
-    return placed.join(F.broadcast(sizes.select("p", "first", before.alias("before"))), "p").select(key, (F.col("m") - F.col("first") + F.col("before")).alias("index"))
+    return global_rank(vectors.select(key).distinct(), [key], "index")
 
 
 def dense_tsv(spark: SparkSession, path: Paths) -> DataFrame:
