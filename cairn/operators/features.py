@@ -89,7 +89,8 @@ def match_counts(descriptors: DataFrame, target: DataFrame, image: str, key: str
     descriptor) are mergeable minima: the nearest, then the nearest but that one.
     """
     wanted = F.broadcast(target.select(F.col(key).alias("tk"), F.col(sign).alias("ts"), F.col(vec).alias("tv")))
-    pairs = descriptors.join(wanted, F.col(sign) == F.col("ts")).select(image, "tk", F.struct(F.sqrt(squared_euclid("tv", vec)).alias("d"), F.col(key).alias("k")).alias("c"))
+    own = descriptors.select(image, F.col(key).alias("__k"), F.col(sign).alias("__s"), F.col(vec).alias("__v"))
+    pairs = own.join(wanted, F.col("__s") == F.col("ts")).select(image, "tk", F.struct(F.sqrt(squared_euclid("tv", "__v")).alias("d"), F.col("__k").alias("k")).alias("c"))
     first = F.min("c").alias("a")
     from cairn.operators.similarity import bounded_two
 

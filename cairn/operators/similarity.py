@@ -88,8 +88,8 @@ def ratio_match(left: DataFrame, right: DataFrame, key: str, sign: str, vec: str
     A match holds if the nearest is closer than ``ratio`` times the second nearest (``none`` with one candidate).
     ``right`` is one image's descriptors and is sent to every task of ``left``; top-2 is a mergeable aggregate.
     """
-    other = F.broadcast(right.select(F.col(key).alias("other"), F.col(sign).alias("s"), F.col(vec).alias("w")))
-    near = left.join(other, (F.col(sign) == F.col("s")), "left").select(key, "other", F.sqrt(squared_euclid(vec, "w")).alias("d"))
+    other = F.broadcast(right.select(F.col(key).alias("other"), F.col(sign).alias("__s"), F.col(vec).alias("__w")))
+    near = left.select(key, F.col(sign).alias("__t"), F.col(vec).alias("__v")).join(other, F.col("__t") == F.col("__s"), "left").select(key, "other", F.sqrt(squared_euclid("__v", "__w")).alias("d"))
     candidate = F.when(F.col("other").isNotNull(), F.struct("d", "other"))
     best = near.groupBy(key).agg(F.min(candidate).alias("first"), F.array_sort(bounded_two(F.coalesce(candidate, F.struct(F.lit(none).alias("d"), F.lit(None).cast("bigint").alias("other"))))).alias("two"))
     second = F.coalesce(F.try_element_at("two", F.lit(2))["d"], F.lit(none))

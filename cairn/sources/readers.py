@@ -20,11 +20,11 @@ def articles(spark: SparkSession, path: Paths, name_pattern: str | None = None)
 
     ``name_pattern`` is a glob on file names. Articles with an empty title or body are dropped.
     """
-    reader = spark.read.option("wholetext", "true")
+    reader = spark.read
     if name_pattern:
         reader = reader.option("pathGlobFilter", name_pattern)
     parts = F.split(F.concat(F.lit("\n"), F.col("value")), r"\n(?=\[\[[^\n]+\]\][ \t]*\r?(?:\n|$))")
-    one = reader.text(path).select(F.explode(parts).alias("a"))
+    one = reader.text(path, wholetext=True).select(F.explode(parts).alias("a"))
     head = r"(?s)^\n?\[\[([^\n]+)\]\][ \t]*\r?(?:\n(.*))?$"
     return one.select(F.regexp_extract("a", head, 1).alias("title"), F.trim(F.regexp_extract("a", head, 2)).alias("body")).where("title <> '' AND body <> ''")
 
@@ -131,10 +131,10 @@ def key_files(spark: SparkSession, path: Paths, size: int = 128, suffix: str | N
 
     The last descriptor counts; a descriptor of another size is dropped by itself.
     """
-    reader = spark.read.option("wholetext", "true")
+    reader = spark.read
     if suffix:
         reader = reader.option("pathGlobFilter", suffix)
-    body = reader.text(path).select(F.input_file_name().alias("image"), F.regexp_extract_all("value", F.lit(r"(?:\n +[^\n]*)+"), F.lit(0)).alias("blocks"))
+    body = reader.text(path, wholetext=True).select(F.input_file_name().alias("image"), F.regexp_extract_all("value", F.lit(r"(?:\n +[^\n]*)+"), F.lit(0)).alias("blocks"))
     each = body.select("image", F.posexplode("blocks").alias("idx", "block"))
     numbers = F.transform(F.regexp_extract_all("block", F.lit(r"[-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?"), F.lit(0)), to_double)
     return each.select("image", "idx", numbers.alias("vec")).where(F.size("vec") == size)
