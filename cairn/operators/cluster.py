@@ -157,12 +157,18 @@ class Infeasible(ValueError):
 
 
 def must_closure(constraints: DataFrame) -> DataFrame:
-    """(key, block): points joined by must pairs share the smallest key among them as their block."""
+    """(key, block): points joined by must pairs share the smallest key among them as their block.
+
+    Each round takes the smallest block among the neighbours, then follows blocks to their own block, so chains of n
+    pairs need about log n rounds.
+    """
     pairs = cut(constraints.where("kind = 'm'").select("a", "b"))
     labels = cut(pairs.select(F.col("a").alias("key"), F.col("a").alias("block")).union(pairs.select("b", "b")).distinct())
     while True:
         spread = pairs.join(labels, pairs["a"] == labels["key"]).select(F.col("b").alias("key"), "block").unionByName(labels)
-        new = cut(spread.groupBy("key").agg(F.min("block").alias("block")))
+        least = spread.groupBy("key").agg(F.min("block").alias("block"))
+        ahead = least.select(F.col("key").alias("block"), F.col("block").alias("next"))
+        new = cut(least.join(ahead, "block").select("key", F.col("next").alias("block")))
         if is_empty(new.join(labels.withColumnRenamed("block", "old"), "key").where("block <> old")):
             return new
         labels = new
