@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.vectors import kmeanspp_points, lsh_vectors
+from cairn.llm.vectors import POINTS_SQL, SPARSE_SQL, kmeanspp_points, lsh_vectors
 from cairn.runtime import cut
 
 BITS = 128
@@ -302,14 +302,23 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 10 most similar others of every query key: kmeanspp ids whose number, lsh words whose hash is divisible by 20."""
+    """The 10 most similar others of every query key: kmeanspp ids whose number, lsh words whose digest is divisible by 20."""
     points = kmeanspp_points(spark, sf_dir).select("key", F.transform(F.sequence(F.lit(0), F.size("v") - 1), lambda i: i.cast("string")).alias("dims"), "v")
     words = lsh_vectors(spark, sf_dir)
     chosen = points.where(F.expr("try_cast(regexp_extract(key, '[0-9]+$', 0) AS bigint) % 20 = 0"))
     a = k_nearest(points, chosen, 10, cosine=False).withColumn("src", F.lit("kmeanspp"))
-    b = k_nearest(words, words.where(F.pmod(F.xxhash64("key"), F.lit(20)) == 0), 10, cosine=True).withColumn("src", F.lit("lsh"))
+    b = k_nearest(words, words.where(F.expr("conv(substr(md5(key), 1, 8), 16, 10) % 20 = 0")), 10, cosine=True).withColumn("src", F.lit("lsh"))
     return a.unionByName(b).select("src", "key", "rank", "neighbour", F.round("similarity", 6).alias("similarity"))
 
 
 QUERIES = {"p7_found": p7_found, "p7_topk": p7_topk}
-ORACLES: dict[str, str] = {}
+#: Brute force over all pairs: for the small table only.
+_PAIRS = f"""WITH {POINTS_SQL}, {SPARSE_SQL}, n AS (SELECT key, sqrt(sum(x * x)) AS n FROM sv GROUP BY key),
+cs AS (SELECT a.key AS a, b.key AS b, sum(a.x * b.x) / any_value(na.n * nb.n) AS cos FROM sv a JOIN sv b ON a.dim = b.dim AND a.key <> b.key JOIN n na ON na.key = a.key JOIN n nb ON nb.key = b.key GROUP BY ALL),
+ds AS (SELECT a.key AS a, b.key AS b, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) ** 2))) AS d FROM pts a JOIN pts b ON a.key <> b.key)"""
+ORACLES = {
+    "p7_found": f"{_PAIRS} SELECT 'lsh' AS src, a AS key_a, b AS key_b FROM cs WHERE cos >= 0.8 AND a < b UNION ALL SELECT 'kmeanspp', a, b FROM ds WHERE d <= 0.02 AND a < b",
+    "p7_topk": f"""{_PAIRS}, q AS (SELECT key FROM n WHERE ('0x' || substr(md5(key), 1, 8))::BIGINT % 20 = 0), full_cs AS (SELECT q.key AS a, n.key AS b, coalesce(cos, 0) AS s FROM q JOIN n ON n.key <> q.key LEFT JOIN cs ON cs.a = q.key AND cs.b = n.key),
+every AS (SELECT 'lsh' AS src, a, b, s FROM full_cs UNION ALL SELECT 'kmeanspp', a, b, -d FROM ds WHERE try_cast(regexp_extract(a, '[0-9]+$') AS BIGINT) % 20 = 0)
+SELECT src, a AS key, CAST(row_number() OVER (PARTITION BY src, a ORDER BY s DESC, b) AS INT) AS rank, b AS neighbour, round(s, 6) AS similarity FROM every QUALIFY rank <= 10""",
+}

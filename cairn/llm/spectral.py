@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm.similar import rotation
 from cairn.llm.term_tables import bounded_heap
-from cairn.llm.vectors import kmeanspp_points
+from cairn.llm.vectors import POINTS_SQL, kmeanspp_points
 from cairn.runtime import cut, is_empty
 
 #: Two records this close are linked; anchors cover half of it; ties reach from one link past a cover.
@@ -241,4 +241,8 @@ def p6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_clusters": p6_clusters}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "p6_found": f"""WITH RECURSIVE {POINTS_SQL}, near AS (SELECT a.key AS a, b.key AS b FROM pts a JOIN pts b ON list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) ** 2)) <= 1),
+reach AS (SELECT a, b FROM near UNION SELECT reach.a, near.b FROM reach JOIN near ON reach.b = near.a),
+g AS (SELECT a AS id, min(b) AS cluster_id, count(*) AS n FROM reach GROUP BY a) SELECT id, cluster_id FROM g WHERE n >= 3"""
+}

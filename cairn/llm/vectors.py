@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.functions.text import NUMBER
+from cairn.functions.text import strict_number as number
 from cairn.sources.tables import table
 
-#: How a number may be spelled; words such as nan or inf, suffixes and thousands marks are none.
-NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
-
-
-def number(c: Column) -> Column:
-    """The finite number spelled in a string, else null."""
-    value = F.when(c.rlike(NUMBER), F.trim(c).try_cast("double"))
-    return F.when(F.abs(value) < F.lit(float("inf")), value)
-
 
 def dense(df: DataFrame, key: str, vec: str, size: int | None = None) -> DataFrame:
     """(key, v ARRAY<DOUBLE>) of usable rows: non-null key, comma list of finite numbers, ``size`` of them if given.
@@ -53,3 +46,14 @@ def kmeanspp_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lsh_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse(table(spark, sf_dir, "lsh", "word", "vec"), "word", "vec")
+
+
+_N = NUMBER.removeprefix("^").removesuffix("$")
+#: ``pts`` (key, v) and ``sv`` (key, dim, x): the same usable rows in DuckDB SQL.
+POINTS_SQL = rf"""pts AS (SELECT key, min(v) AS v FROM (
+  SELECT id AS key, list_transform(string_split(vecstr, ','), lambda x: CASE WHEN regexp_full_match(x, '{_N}') THEN try_cast(trim(x) AS DOUBLE) END) AS v FROM kmeanspp WHERE id IS NOT NULL AND vecstr IS NOT NULL)
+  WHERE len(v) = 16 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY key)"""
+SPARSE_SQL = rf"""lw AS (SELECT word AS key, min(vec) AS vec FROM lsh WHERE word IS NOT NULL AND vec IS NOT NULL AND len(string_split(vec, chr(9))) % 2 = 0
+  AND len(list_filter(string_split(vec, chr(9)), lambda x, i: i % 2 = 0 AND NOT (regexp_full_match(x, '{_N}') AND isfinite(coalesce(try_cast(trim(x) AS DOUBLE), 'inf'::DOUBLE))))) = 0 GROUP BY word),
+lf AS (SELECT key, string_split(vec, chr(9)) AS f FROM lw), le AS (SELECT key, f, unnest(range(1, len(f), 2)) AS i FROM lf),
+sv AS (SELECT key, f[i] AS dim, sum(trim(f[i + 1])::DOUBLE) AS x FROM le GROUP BY ALL HAVING sum(trim(f[i + 1])::DOUBLE) <> 0)"""
