@@ -67,29 +67,35 @@ def article_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.where("length(title) > 0 AND length(body) > 0").select("rec_no", F.length("body").cast("bigint").alias("n"))
 
 
+#: Document ids that one block of a posting list spans, so that no list outgrows a row however common its word.
+POSTING_BLOCK = 65_536
+
+
 def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tf(spark, sf_dir).groupBy("word").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
+    """(word, block, ids): sorted posting lists, cut into blocks of the id range."""
+    block = F.expr(f"doc_id div {POSTING_BLOCK}").alias("block")
+    return tf(spark, sf_dir).groupBy("word", block).agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
 
 
 def gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaps of each word's sorted posting list."""
-    return _postings(spark, sf_dir).select("word", F.array_join(codec.gaps("ids"), ",").alias("gaps"))
+    return _postings(spark, sf_dir).select("word", "block", F.array_join(codec.gaps("ids"), ",").alias("gaps"))
 
 
 def prefix_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posting lists rebuilt from their gaps."""
-    return _postings(spark, sf_dir).select("word", F.array_join(codec.prefix_sums(codec.gaps("ids")), ",").alias("ids"))
+    return _postings(spark, sf_dir).select("word", "block", F.array_join(codec.prefix_sums(codec.gaps("ids")), ",").alias("ids"))
 
 
 def vbyte_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hex of each gap-coded posting list."""
-    return _postings(spark, sf_dir).select("word", F.hex(codec.compress("ids")).alias("code"))
+    return _postings(spark, sf_dir).select("word", "block", F.hex(codec.compress("ids")).alias("code"))
 
 
 def vbyte_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posting lists decoded from their compressed form."""
-    packed = _postings(spark, sf_dir).select("word", codec.compress("ids").alias("data"))
-    return packed.select("word", F.array_join(codec.decompress("data"), ",").alias("ids"))
+    packed = _postings(spark, sf_dir).select("word", "block", codec.compress("ids").alias("data"))
+    return packed.select("word", "block", F.array_join(codec.decompress("data"), ",").alias("ids"))
 
 
 def postings_compressed_size(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,9 +115,9 @@ QUERIES = {f.__name__: f for f in (tf, df, corpus_size, tfidf_top50, idf_reweigh
 
 _TF = r"tf AS (SELECT doc_id, word, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents) GROUP BY ALL)"
 _DF = "df AS (SELECT word, count(*) AS df FROM tf GROUP BY word), n AS (SELECT count(DISTINCT doc_id) AS n FROM tf)"
-_POST = "p AS (SELECT word, list(doc_id ORDER BY doc_id) AS ids FROM tf GROUP BY word), g AS (SELECT word, ids, list_transform(ids, lambda x, i: CASE WHEN i = 1 THEN x ELSE x - ids[i - 1] END) AS gaps FROM p)"
+_POST = f"p AS (SELECT word, doc_id // {POSTING_BLOCK} AS block, list(doc_id ORDER BY doc_id) AS ids FROM tf GROUP BY ALL), g AS (SELECT word, block, ids, list_transform(ids, lambda x, i: CASE WHEN i = 1 THEN x ELSE x - ids[i - 1] END) AS gaps FROM p)"
 _NUM = "CASE WHEN {n} >= 2097152 THEN printf('%02X', (({n} >> 21) & 127)) ELSE '' END || CASE WHEN {n} >= 16384 THEN printf('%02X', (({n} >> 14) & 127)) ELSE '' END || CASE WHEN {n} >= 128 THEN printf('%02X', (({n} >> 7) & 127)) ELSE '' END || printf('%02X', (({n} & 127) | 128))"
-_HEX = f"h AS (SELECT word, ids, {_NUM.format(n='len(gaps)')} || list_aggregate(list_transform(gaps, lambda n: {_NUM.format(n='n')}), 'string_agg', '') AS code FROM g)"
+_HEX = f"h AS (SELECT word, block, ids, {_NUM.format(n='len(gaps)')} || list_aggregate(list_transform(gaps, lambda n: {_NUM.format(n='n')}), 'string_agg', '') AS code FROM g)"
 
 
 def _weighted(weight: str, value: str, top: str) -> str:
@@ -131,10 +137,10 @@ ORACLES = {
     "tf_ordered": f"WITH {_TF} SELECT doc_id, string_agg(word, ' ' ORDER BY tf DESC, word) AS words FROM tf GROUP BY doc_id",
     "sentence_split": "SELECT doc_id, pos, sentence FROM (SELECT doc_id, unnest(string_split(text, '。')) AS sentence, unnest(range(len(string_split(text, '。')))) AS pos FROM documents) WHERE sentence <> ''",
     "article_guard": "SELECT rec_no, length(body) AS n FROM count_word WHERE length(title) > 0 AND length(body) > 0",
-    "gap": f"WITH {_TF}, {_POST} SELECT word, array_to_string(gaps, ',') AS gaps FROM g",
-    "prefix_sum": f"WITH {_TF}, {_POST} SELECT word, array_to_string(ids, ',') AS ids FROM g",
-    "vbyte_encode": f"WITH {_TF}, {_POST}, {_HEX} SELECT word, code FROM h",
-    "vbyte_decode": f"WITH {_TF}, {_POST} SELECT word, array_to_string(ids, ',') AS ids FROM g",
+    "gap": f"WITH {_TF}, {_POST} SELECT word, block, array_to_string(gaps, ',') AS gaps FROM g",
+    "prefix_sum": f"WITH {_TF}, {_POST} SELECT word, block, array_to_string(ids, ',') AS ids FROM g",
+    "vbyte_encode": f"WITH {_TF}, {_POST}, {_HEX} SELECT word, block, code FROM h",
+    "vbyte_decode": f"WITH {_TF}, {_POST} SELECT word, block, array_to_string(ids, ',') AS ids FROM g",
     "postings_compressed_size": f"WITH {_TF}, {_POST}, {_HEX} SELECT CAST(sum(len(ids)) AS BIGINT) AS n_postings, CAST(sum(len(ids) * 8) AS BIGINT) AS plain_bytes, CAST(sum(length(code) // 2) AS BIGINT) AS packed_bytes FROM h",
     "random_sorted": "SELECT id AS n FROM range(1000) t(id) ORDER BY md5(id || ':7'), id LIMIT 100",
 }
