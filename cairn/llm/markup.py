@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -65,6 +66,24 @@ class Node:
     drops: bool = False
 
 
+class Spans:
+    """Intervals of a text, merged; ``at in spans`` by bisection."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def __contains__(self, at: int) -> bool:
+        k = bisect_right(self.starts, at) - 1
+        return k >= 0 and at < self.ends[k]
+
+
 # ---------------------------------------------------------------- candidates
 
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s[^<>]*|/)?)(>|\Z)")
@@ -114,6 +133,7 @@ def _html(text: str, out: list[Node], literal: list[tuple[int, int]]) -> None:
     for m in _SCRIPT.finditer(text):
         out.append(Node(*m.span(), "html", "", 6.0, drops=True))
     opened: list[tuple[str, int]] = []
+    closed = {m[2] for m in _TAG.finditer(text) if m[1]}
     for m in _TAG.finditer(text):
         close, name, rest, ended = m[1], m[2].lower(), m[3], m[4]
         cut = not ended
@@ -122,7 +142,7 @@ def _html(text: str, out: list[Node], literal: list[tuple[int, int]]) -> None:
                 continue
         before = text[m.start() - 1] if m.start() else " "
         odds = 5.0
-        if len(name) == 1 and not close and not rest and before.isascii() and (before.isalnum() or before == "_") and f"</{m[2]}" not in text:
+        if len(name) == 1 and not close and not rest and before.isascii() and (before.isalnum() or before == "_") and m[2] not in closed:
             odds = -3.0  # a type parameter
         if cut and not rest.strip() and name not in ELEMENTS:
             odds = 2.0
@@ -146,8 +166,7 @@ def _html(text: str, out: list[Node], literal: list[tuple[int, int]]) -> None:
 
 
 def _latex(text: str, out: list[Node], literal: list[tuple[int, int]]) -> None:
-    paths = [m.span() for m in _PATH.finditer(text)]
-    in_path = lambda at: any(a <= at < b for a, b in paths)
+    paths = Spans([m.span() for m in _PATH.finditer(text)])
     spans = []
     for m in _FORMULA.finditer(text):
         inner = m[0].lstrip("\\$[(").rstrip("\\$])").strip()
@@ -156,18 +175,19 @@ def _latex(text: str, out: list[Node], literal: list[tuple[int, int]]) -> None:
             continue
         out.append(Node(*m.span(), "latex", f"${inner}$", 5.0 if firm else 1.0))
         spans.append(m.span())
-    inside = lambda at: any(a <= at < b for a, b in spans)
+    displayed = Spans(spans)
     for m in _INLINE.finditer(text):
-        if inside(m.start()):
+        if m.start() in displayed:
             continue
         firm = "\\" in m[1] or re.search(r"[\^_]\{?\w|=", m[1]) and not re.match(r"\d", m[1])
         single = re.fullmatch(r"[A-Za-z]", m[1])
         out.append(Node(*m.span(), "latex", m[0], 5.0 if firm else 1.0 if single else -3.0))
         if firm:
             spans.append(m.span())
+    formulas = Spans(spans)
     begun = None
     for m in _COMMAND.finditer(text):
-        if in_path(m.start()):
+        if m.start() in paths:
             continue
         name, arg = m[1], (m[3] or "")[1:].removesuffix("}") if m[3] else ""
         known, braced = name in COMMANDS, bool(m[3])
@@ -193,7 +213,7 @@ def _latex(text: str, out: list[Node], literal: list[tuple[int, int]]) -> None:
             mark, drops = f" ({arg})", True
         elif name == "href" and braced:
             mark, drops = "", True
-        elif inside(m.start()):
+        elif m.start() in formulas:
             out.append(Node(m.start(), m.start(1) + len(name), "latex", m[0], 5.0))
             continue
         elif braced and name in ("frac", "dfrac", "tfrac", "sqrt", "binom", "mathbb", "mathbf", "mathcal", "mathrm", "hat", "bar", "vec") or not braced and known and name not in ("it", "bf", "em", "tt", "sc", "rm", "sf"):
@@ -203,13 +223,14 @@ def _latex(text: str, out: list[Node], literal: list[tuple[int, int]]) -> None:
         out.append(Node(m.start(), end, "latex", mark, odds, drops=drops))
     if begun is not None:
         literal.append((begun, len(text)))
+    covered = Spans([(n.start, n.end) for n in out if n.kind == "latex" and n.end - n.start > 1])
     for m in _BRACED.finditer(text):
-        close = text.find("}", m.end())
+        close = text.find("}", m.end(), m.end() + 400)
         out.append(Node(m.start(), m.end(), "latex", "", 4.0))
-        if close > 0 and "\n" not in text[m.end() : close] and not any(n.start <= close < n.end for n in out if n.kind == "latex" and n.end - n.start > 1):
+        if close > 0 and "\n" not in text[m.end() : close] and close not in covered:
             out.append(Node(close, close + 1, "latex", "", 3.0))
     for m in _ESCAPE.finditer(text):
-        if in_path(m.start()) or inside(m.start()):
+        if m.start() in paths or m.start() in formulas:
             continue
         if m[0] == "~":
             out.append(Node(*m.span(), "latex", " ", 2.0))
@@ -220,8 +241,8 @@ def _latex(text: str, out: list[Node], literal: list[tuple[int, int]]) -> None:
 
 
 def _wiki(text: str, out: list[Node], literal: list[tuple[int, int]]) -> None:
-    quiet = lambda at: any(a <= at < b for a, b in literal)
-    add = lambda *a, **k: None if quiet(a[0]) else out.append(Node(a[0], a[1], "wiki", a[2], a[3], **k))
+    quiet = Spans(literal)
+    add = lambda *a, **k: None if a[0] in quiet else out.append(Node(a[0], a[1], "wiki", a[2], a[3], **k))
     for m in _REDIRECT.finditer(text):
         add(*m.span(), "", 5.0, drops=True)
     for m in _FILE.finditer(text):
@@ -251,14 +272,18 @@ def _wiki(text: str, out: list[Node], literal: list[tuple[int, int]]) -> None:
     for start in stack:
         if re.match(r"\{\{\s*#?[\w]", text[start:]) or start + 2 == len(text):
             add(start, start + 2, "", 3.5)
+    breaks = [m.start() for m in re.finditer("\n", text)] if "''" in text else []
+    quotes: dict[int, int] = {}
+    for m in _QUOTES.finditer(text):
+        line = bisect_right(breaks, m.start())
+        quotes[line] = quotes.get(line, 0) + 1
     for m in _QUOTES.finditer(text):
         before, after = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
         if before.isdigit() and not after.strip():  # inches, seconds
             continue
         if not (before.strip() or after.strip()):
             continue
-        line = text[text.rfind("\n", 0, m.start()) + 1 : (text.find("\n", m.end()) + 1 or len(text) + 1) - 1]
-        paired = len(_QUOTES.findall(line)) > 1
+        paired = quotes[bisect_right(breaks, m.start())] > 1
         add(*m.span(), "", 4.0 if paired else 2.0 if after.strip() else 0.5)
     for m in _WIKI_HEAD.finditer(text):
         closed = m[3] is not None
@@ -289,9 +314,9 @@ def _markdown(text: str, out: list[Node], literal: list[tuple[int, int]]) -> Non
     wiki = [(n.start, n.end) for n in out if n.kind == "wiki"]
     code: list[tuple[int, int]] = []
     opened: tuple[int, str] | None = None
-    quiet = lambda at: any(a <= at < b for a, b in literal)
+    quiet = Spans(literal)
     for m in _FENCE.finditer(text):
-        if quiet(m.start()) or m[1][0] == "~" and m[0].strip("~ \r") == "" and opened is None and len(m[1]) > 3 and text.count(m[1]) < 2:
+        if m.start() in quiet or m[1][0] == "~" and m[0].strip("~ \r") == "" and opened is None and len(m[1]) > 3 and text.count(m[1]) < 2:
             continue
         if opened is None:
             opened = (m.end(), m[1])
@@ -304,8 +329,9 @@ def _markdown(text: str, out: list[Node], literal: list[tuple[int, int]]) -> Non
     if opened:
         code.append((opened[0], len(text)))
     literal += code
-    taken = lambda at: quiet(at) or any(a <= at < b for a, b in wiki)
-    add = lambda *a, **k: None if taken(a[0]) else out.append(Node(a[0], a[1], "markdown", a[2], a[3], **k))
+    taken = Spans(literal + wiki)
+    referenced = re.search(r"^ {0,3}\[[^\[\]\n]+\]:", text, re.MULTILINE)
+    add = lambda *a, **k: None if a[0] in taken else out.append(Node(a[0], a[1], "markdown", a[2], a[3], **k))
     for m in _ATX.finditer(text):
         if m[1]:
             add(*m.span(), m[1] + " ", 2.5)
@@ -332,7 +358,7 @@ def _markdown(text: str, out: list[Node], literal: list[tuple[int, int]]) -> Non
     for m in _MD_LINK.finditer(text):
         before = text[m.start() - 1] if m.start() else " "
         call = m[3].startswith("(") and before.isascii() and (before.isalnum() or before in "_)]") and not m[1]
-        if m[3].startswith("[") and not re.search(r"^ {0,3}\[[^\[\]\n]+\]:", text, re.MULTILINE):
+        if m[3].startswith("[") and not referenced:
             continue
         add(*m.span(), m[2], -2.0 if call else 3.5, drops=True)
     for m in _FOOTNOTE.finditer(text):

@@ -113,8 +113,7 @@ def _compile(pattern: str) -> re.Pattern:
 
 _PLACEHOLDERS = {k: re.compile(v) for k, v in PLACEHOLDERS.items()}
 _INSTRUCTIONS, _FILLER, _ERRORS, _SCRIPTS, _NEUTRAL, _MENTION, _RUNS = map(_compile, (INSTRUCTIONS, FILLER, ERRORS, SCRIPTS, NEUTRAL, MENTION, RUNS))
-_TAG = re.compile(r"</?(?:" + "|".join(_ELEMENTS) + r")\b[^<>\n]*>|<!--.*?-->|<!doctype[^<>]*>", re.IGNORECASE | re.DOTALL)
-_FENCE = re.compile(r"^[ \t]*(```|~~~).*?^[ \t]*\1[ \t]*$", re.MULTILINE | re.DOTALL)
+_TAG = re.compile(r"</?(?:" + "|".join(_ELEMENTS) + r")\b[^<>\n]*>|<!--.*?(?:-->|\Z)|<!doctype[^<>]*>", re.IGNORECASE | re.DOTALL)
 _USAGE = re.compile(r"^\s*(?:usage:|options:|synopsis|-{1,2}\w[\w-]*[ ,=<\[{$]|\$ \w)|^\s*exit status|\[-\w|^(?: {2,}|\t)(?:-|\w+\s*[({=]|<\w+>\s{2,})", re.IGNORECASE)
 _SPLIT = re.compile(r"\r\n|[\n\r  \x0b\x0c\x85]|(?<=[.!?…])\s+(?=[^\s])|(?<=[。！？])|\s[-–—|·•]\s|[|｜]|(?:©|\(c\)) ?[\w.-]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -183,6 +182,26 @@ def _triggers():
         return None
 
 
+def outside_code(text: str) -> str:
+    """The text without its fenced code blocks; a fence that is never closed opens none. One pass over the lines."""
+    if "```" not in text and "~~~" not in text:
+        return text
+    kept: list[str] = []
+    block: list[str] = []
+    fence = ""
+    for line in text.splitlines(keepends=True):
+        bare = line.strip()
+        if not fence and bare[:3] in ("```", "~~~"):
+            fence, block = bare[:3], [line]
+        elif fence:
+            block.append(line)
+            if bare.startswith(fence) and not bare.strip(fence[0]):
+                fence, block = "", []
+        else:
+            kept.append(line)
+    return "".join(kept + block)
+
+
 def placeholders(segment: str) -> list[str]:
     """The delimiter kinds of the placeholders in ``segment``, one entry per placeholder."""
     found = []
@@ -245,7 +264,7 @@ def assess(text: str | None) -> tuple[str | None, float]:
         return None, 0.0
     size = {"template": 0, "filler": 0, "error": 0, "script": 0, "prose": 0, "symbols": 0}
     free: list[int] = []
-    body = _FENCE.sub(lambda m: "\n", text)
+    body = outside_code(text)
     size["prose"] += len(text) - len(body)
     hopeless = (1 - DENSITY) * len(text)  # with more prose than this, no residue in the rest can reach the density
     for segment in _SPLIT.split(_TAG.sub("\n", body)):

@@ -88,7 +88,8 @@ def join(tokenizer, left: Piece, right: Piece) -> Piece:
     i = max(0, bisect_right(left.starts, n - LOOKAHEAD) - 1) if left.starts else 0
     begin = left.starts[i] if left.starts and left.starts[i] <= n - LOOKAHEAD else 0
     keep = left.firsts[i] if begin else 0
-    tail, reach = left.text[begin:], WINDOW
+    # no window short of the right part's second pre-token can be stable
+    tail, reach = left.text[begin:], max(WINDOW, right.starts[1] + LOOKAHEAD if len(right.starts) > 1 else len(right.text))
     while True:
         end = min(len(right.text), reach)
         window = encode_piece(tokenizer, tail + right.text[:end])
