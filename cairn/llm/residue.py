@@ -73,7 +73,7 @@ LATIN = frozenset(
 )
 #: Error pages and server messages (fixed values).
 ERRORS = r"""
-\b(?:http(?:/\d\.\d)?|error|status|code|erreur|fehler)\W{0,3}(?:code\W{0,3})?[3-5]\d\d\b|\b[45]\d\d\b\W{0,3}(?:-\s*)?(?:not\ found|forbidden|bad|internal|service|gateway|unauthori[sz]ed|error|gone|too\ many)
+\b(?:http(?:/\d\.\d)?|error|status|code|erreur|fehler)[\ :\#-]{0,3}(?:code[\ :\#-]{0,3})?[3-5]\d\d\b|\b[45]\d\d\b\W{0,3}(?:-\s*)?(?:not\ found|forbidden|bad|internal|service|gateway|unauthori[sz]ed|error|gone|too\ many)
 |\bnot\ found\b|\b(?:does|do|did)\ not\ exist\b|\bno\ such\ (?:page|file|article|entry|address)\b|\baccess\ (?:is\ )?(?:denied|forbidden|restricted)\b|\bforbidden\b|\bdo(?:es)?\ not\ have\ permission\b|\bblocked\ by\b|\bpermission\ denied\b
 |\b(?:service|temporarily|currently|is)\ (?:temporarily\ )?unavailable\b|\bbad\ (?:gateway|request)\b|\bgateway\ time-?out\b|\binternal\ (?:server\ )?error\b|\bsomething\ went\ wrong\b|\btry\ again\b|\btook\ too\ long\b|\btimed?[ -]?out\b|\btime\ exceeded\b
 |\bsession\ (?:has\ |is\ )?expired\b|\b(?:sign|log)\ ?in\ (?:again|required|to\ (?:continue|read|view))|\blogin\ required\b|\brequested\ (?:resource|page|url|address)\b|\breference\ (?:number|id)\b|\bincident\ (?:number|id)\b|\bmay\ have\ been\ (?:moved|deleted|removed|renamed)\b
@@ -81,8 +81,8 @@ ERRORS = r"""
 |\b[\w.]*(?:exception|error):?(?:\s|$)(?=.*(?:\bat\ |:|$))(?<=exception)|\b\w+(?:\.\w+)+exception\b|^\s*at\ [\w$.<>]+\([\w.]*:?\d*\)|\bsqlstate\b|^\s*(?:warning|fatal\ error|notice|parse\ error|traceback)\b.{0,20}[:(]|\bmysql_\w+\(|\bstack\ ?trace\b|\bsegmentation\ fault\b|\bconnection\ (?:refused|reset|failed|closed)\b
 |\b(?:under|scheduled|for)\ maintenance\b|\bwe(?:'ll|\ will)?\ (?:are|be)\ (?:back|sorry|down)|\bthis\ takes\ up\ to\ \d+|\bhas\ been\ (?:deleted|removed|suspended)\b|\bsubscription\ required\b|\bto\ read\ this\ article\b|\bapologi[sz]e\ for
 |\b(?:is|are|was)\ (?:currently\ )?not\ available\b|\bis\ being\ (?:rebuilt|updated|moved)|\bcome\ back\ later\b|\b(?:could\ not|couldn't|couldn’t|cannot|can\ not|can't|can’t)\ (?:find|be)\b|\brefused\ the\ connection|\breturned\ an\ (?:empty|invalid)|\bhas\ been\ (?:moved|archived)|\bfailed\ with\ (?:code|error|status)|\bout\ of\ memory\b|\bfatal\ error\b|\brequest\ (?:id\b|[0-9a-f]{6,})|\bray\ [0-9a-f]{6,}|\bstack\ trace\ logged|^\W*(?:sorry|unfortunately|oops|whoops)\b|^\W*notice:|^\s*file\ ".{0,60}",\ line\ \d+|^\s*\w*(?:error|exception):\s|^\W*null\W*$
-|\bnicht\ (?:gefunden|verfügbar|erreichbar|vorhanden)\b|\bexistiert\ nicht\b|\bzugriff\ (?:verweigert|gesperrt|verboten)|\bkeine\ (?:berechtigung|zugriffsrechte)|\bwartung(?:s\w+)?\b|\bversuchen\ sie\ es\b|\bsitzung\b.{0,20}\babgelaufen|\bmelden\ sie\ sich\b.{0,12}\ban\b|\banmeldung\ erforderlich|\bserverfehler\b|\bzeitüberschreitung\b|\bverschoben\ oder\ gelöscht\b|\bgelöscht\ oder\ verschoben\b|\bprüfen\ sie\ die\b|\bfehler(?:code|nummer)?\W{0,3}\d{2,}|\betwas\ ist\ schief|\bzu\ viele\ anfragen\b|\bvorgangs(?:nummer|kennung)\b|\bgibt\ es\ (?:hier\ )?nicht|\b(?:kann|konnte|können)\b.{0,30}\bnicht\ (?:\w+\ )?(?:angezeigt|geladen|gefunden|erreicht|geöffnet)|\b(?:derzeit|zurzeit|momentan|gerade)\ nicht\b|^\W*leider\b|^\W*(?:hinweis|achtung|entschuldigung):|\bkommen\ sie\ später|\bnicht\ mehr\ (?:da|vorhanden)|\bwurde\ (?:gelöscht|entfernt|verschoben)|\bgesperrt\b
-|\bintrouvable\b|\bn['’]existe\ (?:pas|plus)\b|\baccès\ (?:refusé|interdit|limité)|\bpas\ (?:l['’]autorisation|autorisée?)\b|\bindisponible\b|\ben\ maintenance\b|\bréessayer\b|\bréessayez\b|\berreur\W{0,3}(?:interne|du\ serveur|n[o°]\W*)?\W{0,3}\d{2,}|\berreur\ (?:interne|du\ serveur)|\bsession\ (?:a\ )?expirée?|\b(?:vous\ )?reconnecter\b|\bconnexion\ (?:requise|refusée|impossible)|\bvérifie[zr]\ l['’](?:adresse|orthographe)|\bdéplacée?\ ou\ supprimée?|\bsupprimée?\ ou\ déplacée?|\btrop\ de\ requêtes\b|\béchec\ d[ue]\b|\bmomentanément\b|\bn['’](?:a|ont)\ pas\ pu\b|\bne\ (?:peut|peuvent)\ (?:pas\ )?être\b|\bdossier\ [0-9a-f]{6,}|^\W*(?:désolée?|malheureusement|avis\ ?:|oups)\b|\brevenez\ plus\ tard|\ba\ été\ (?:supprimée?|déplacée?)|\bdélai\ dépassé|\bune\ erreur\ (?:est|s['’]est)
+|\bnicht\ (?:gefunden|verfügbar|erreichbar|vorhanden)\b|\bexistiert\ nicht\b|\bzugriff\ (?:verweigert|gesperrt|verboten)|\bkeine\ (?:berechtigung|zugriffsrechte)|\bwartung(?:s\w+)?\b|\bversuchen\ sie\ es\b|\bsitzung\b.{0,20}\babgelaufen|\bmelden\ sie\ sich\b.{0,12}\ban\b|\banmeldung\ erforderlich|\bserverfehler\b|\bzeitüberschreitung\b|\bverschoben\ oder\ gelöscht\b|\bgelöscht\ oder\ verschoben\b|\bprüfen\ sie\ die\b|\bfehler(?:code|nummer)?[\ :\#-]{0,3}\d{2,}|\betwas\ ist\ schief|\bzu\ viele\ anfragen\b|\bvorgang(?:snummer|skennung)?\ [0-9a-f]{6,}|\bvorgangs(?:nummer|kennung)\b|\bfehlgeschlagen\b|\b(?:bitte|später)\ .{0,20}\bversuchen\b|\berneut\ versuchen\b|\binterner\ (?:server)?fehler\b|\bgibt\ es\ (?:hier\ )?nicht|\b(?:kann|konnte|können)\b.{0,30}\bnicht\ (?:\w+\ )?(?:angezeigt|geladen|gefunden|erreicht|geöffnet)|\b(?:derzeit|zurzeit|momentan|gerade)\ nicht\b|^\W*leider\b|^\W*(?:hinweis|achtung|entschuldigung):|\bkommen\ sie\ später|\bnicht\ mehr\ (?:da|vorhanden)|\bwurde\ (?:gelöscht|entfernt|verschoben)|\bgesperrt\b
+|\bintrouvable\b|\bn['’]existe\ (?:pas|plus)\b|\baccès\ (?:refusé|interdit|limité)|\bpas\ (?:l['’]autorisation|autorisée?)\b|\bindisponible\b|\ben\ maintenance\b|\bréessayer\b|\bréessayez\b|\berreur[\ :\#-]{0,3}(?:interne|du\ serveur|n[o°]\ ?)?[\ :\#-]{0,3}\d{2,}|\berreur\ (?:interne|du\ serveur)|\bsession\ (?:a\ )?expirée?|\b(?:vous\ )?reconnecter\b|\bconnexion\ (?:requise|refusée|impossible)|\bvérifie[zr]\ l['’](?:adresse|orthographe)|\bdéplacée?\ ou\ supprimée?|\bsupprimée?\ ou\ déplacée?|\btrop\ de\ requêtes\b|\béchec\ d[ue]\b|\bmomentanément\b|\bn['’](?:a|ont)\ pas\ pu\b|\bne\ (?:peut|peuvent)\ (?:pas\ )?être\b|\bdossier\ [0-9a-f]{6,}|^\W*(?:désolée?|malheureusement|avis\ ?:|oups)\b|\brevenez\ plus\ tard|\ba\ été\ (?:supprimée?|déplacée?)|\bdélai\ dépassé|\bune\ erreur\ (?:est|s['’]est)
 |見つかりません|見つかりませんでした|存在しません|(?:項目|頁|記事|画像|文書|ファイル)は?(?:あり|削除|移動)|はありません$|アクセス.{0,12}(?:拒否|禁止|できません|制限)|権限が(?:あり|必要)|エラー(?:コード|番号|が発生|\s*\d)|サーバー?.{0,10}(?:応答|エラー|障害)|メンテナンス|しばらく(?:して|たって|お待ち)|再度お試し|お試しください|期限が切れ|もう一度ログイン|ログインが?必要|再ログイン|ご確認ください|削除され(?:まし)?た|移動または|利用(?:でき|いただけ)ません|表示できません|読み込めません|(?:問題|障害|不具合)が発生|接続できません|予定時間|最大\d+秒|混み合って|混雑|タイムアウト|受付番号|問い合わせ番号|お知らせ[:：]|アクセスが集中|禁止されて|ブロックされ
 """
 #: Demands for scripts, cookies or another browser (fixed values).
@@ -115,6 +115,7 @@ _PLACEHOLDERS = {k: re.compile(v) for k, v in PLACEHOLDERS.items()}
 _INSTRUCTIONS, _FILLER, _ERRORS, _SCRIPTS, _NEUTRAL, _MENTION, _RUNS = map(_compile, (INSTRUCTIONS, FILLER, ERRORS, SCRIPTS, NEUTRAL, MENTION, RUNS))
 _TAG = re.compile(r"</?(?:" + "|".join(_ELEMENTS) + r")\b[^<>\n]*>|<!--.*?(?:-->|\Z)|<!doctype[^<>]*>", re.IGNORECASE | re.DOTALL)
 _USAGE = re.compile(r"^\s*(?:usage:|options:|synopsis|-{1,2}\w[\w-]*[ ,=<\[{$]|\$ \w)|^\s*exit status|\[-\w|^(?: {2,}|\t)(?:-|\w+\s*[({=]|<\w+>\s{2,})", re.IGNORECASE)
+_TRACE = re.compile(r"^\s*(?:File \".{0,80}\", line \d+|at [\w$.<>]+\([\w.]*:?\d*\)|Traceback \(most recent call)")
 _SPLIT = re.compile(r"\r\n|[\n\r  \x0b\x0c\x85]|(?<=[.!?…])\s+(?=[^\s])|(?<=[。！？])|\s[-–—|·•]\s|[|｜]|(?:©|\(c\)) ?[\w.-]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
@@ -224,8 +225,10 @@ def judge(segment: str) -> str:
     s = segment.strip()
     if not s or not any(c.isalnum() for c in s):
         return "symbols" if len(s) >= 24 and len(set(s)) <= 4 else "empty"
-    if _USAGE.search(segment):
+    if _USAGE.search(segment) or segment.count("\t") > 1:
         return "prose"
+    if _TRACE.search(s):
+        return "error"
     if _NEUTRAL.search(s):
         return "neutral"
     words = _WORD.findall(s)
@@ -246,6 +249,10 @@ def judge(segment: str) -> str:
         for _, bits in automaton.iter(s.lower()):
             mask |= bits
     for bit, (kind, pattern) in enumerate((("template", _INSTRUCTIONS), ("script", _SCRIPTS), ("error", _ERRORS), ("filler", _FILLER), ("filler", _RUNS))):
+        if bit == 4:
+            run = pattern.search(s)
+            if run and len(run[0]) < 0.5 * len(s):
+                continue  # an ornament beside text
         if (bit == 4 or mask >> bit & 1) and pattern.search(s):
             if not pattern.search(open_text) or mention and kind != "template":
                 return "prose"

@@ -7,6 +7,8 @@ RESIDUE = [
     ("Home | Index | Help - Page not found - Requested resource: /page/790", "error"),
     ("<html><head><title>500 Internal Server Error</title></head><body><h1>500 Internal Server Error</h1></body></html>", "error"),
     ("お探しのページは存在しません\nトップページへ戻る", "error"),
+    ("Zeitüberschreitung - Vorgang ea39085c - Bitte später erneut versuchen.", "error"),
+    ('Traceback (most recent call last):\n  File "render.py", line 569, in show\nKeyError: \'title\'', "error"),
     ("Title\n\nPlease enable JavaScript\nCookies must be allowed as well.", "script"),
     ("<noscript>You need JavaScript to view this page</noscript>", "script"),
     ("Cette page nécessite JavaScript Chargement…", "script"),
@@ -25,6 +27,8 @@ REAL = [
     "TODO: write introduction\n\nThe guild sold 766 pieces of cloth to the page every autumn. Before 1779 nobody had weighed the page against the stone.",
     "```\nprint('%(name)s' % row)\n404 not found\n```\nThe code above prints the name of each row, which the reader can check by hand.",
     "x, x, river!\n" * 8,
+    "name\tfold\t150\nname\terror\t359\nname\tcolour\t249",
+    "The mill was rebuilt in 1809 and kept its name. Its wheel is older than the river." + "ー" * 30,
 ]
 
 
