@@ -21,7 +21,7 @@ from cairn.sources.tables import table
 
 #: Share of the judged characters that residue must have.
 DENSITY = 0.45
-#: Lines without a verdict (title, menu, footer) that don't count against residue.
+#: Lines without a verdict (a title, an unknown footer) that don't count against residue.
 FREE_LINES = 4
 
 _NAME = r"[^\W\d][\w .:|'’-]{0,40}?"
@@ -37,7 +37,7 @@ PLACEHOLDERS = {
     "percent": r"%[^\W\d][\w.]{1,40}%",
     "square": r"\[\[\[\s*[^\[\]\n]{1,60}\s*\]\]\]|\[(?:INSERT|ENTER|YOUR|ADD|TODO|PLACEHOLDER|TITLE|NAME|DATE)\b[^\[\]\n]{0,60}\]|\[[^\[\]\n]{1,40} (?:here|hier|ici)\]|\[[^\[\]\n]{1,30}をここに\]|【[^【】\n]{1,30}】",
     "underscore": r"(?<![A-Za-z0-9_])__[^\W_](?:[\w.]{0,40}?[^\W_])?__(?![A-Za-z0-9_])",
-    "crosses": r"(?<![A-Za-z])(?:xx_\w{1,40}?_xx|XX_\w{1,40}?_XX)(?![A-Za-z])",
+    "crosses": r"(?<![A-Za-z])(?:xx_[\w.]{1,40}?_xx|XX_[\w.]{1,40}?_XX)(?![A-Za-z])",
     "at": r"(?<![A-Za-z0-9])@@?[^\W\d][\w.]{0,40}?@@?(?![A-Za-z0-9])",
     "dollars": r"(?<![A-Za-z0-9_$])\$[^\W\d][\w.]{0,40}?\$(?![A-Za-z0-9$])",
     "tildes": r"~~?[A-Z_]{3,40}~~?|\|[A-Z_]{3,40}\||\*\|[^|\n]{1,40}\|\*",
@@ -59,13 +59,13 @@ INSTRUCTIONS = r"""
 """
 #: Filler words and runs (fixed values).
 FILLER = r"""
-\blorem\b|\bipsum\b|\bdolor\ sit\b|\bconsectetur\b|\badipiscing\b
+\blorem\b|\bipsum\b|\bthis\ is\ a\ test\b|\bdolor\ sit\b|\bconsectetur\b|\badipiscing\b
 |\b(?:placeholder|sample|dummy|filler)\ (?:copy|text|content)\b|\btest\ test\b|\btext\ text\b|\bfoo\ bar\b|\basdf\w*|\bqwert?\w*\ ?\w*|\bblah?\ ?blah?\b|\bx{3,}\b(?:\ x{3,})*
 |\btexte\ (?:d['’]exemple|fictif|factice|bidon)|\bfaux\ texte\b|\bblabla\b|\bbla\ bla\b|\b(?:blind|muster|beispiel|platzhalter|füll)text\w*|\bplatzhalter\b
 |ダミー(?:テキスト|文章?)?|(?:テスト){2,}|(?:サンプル|仮の)(?:テキスト|文章?|文字)|(?:文字){2,}|(?:ほげ){1,}|(?:ふが){1,}|あいうえお
 """
 #: The same few letters or words over and over.
-RUNS = r"([^\W_]{1,6}?)\1{7,}|(\b\w+(?:\ \w+){0,2}\ )\2{5,}"
+RUNS = r"([^\W_]{1,6}?)\1{7,}|(\b\w+(?:\ \w+){0,4}\ )\2{5,}"
 #: Latin look-alike words of filler (fixed values); a segment made of them is filler even without "lorem".
 LATIN = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat "
@@ -87,11 +87,11 @@ ERRORS = r"""
 """
 #: Demands for scripts, cookies or another browser (fixed values).
 SCRIPTS = r"""
-(?:enable|turn\ on|activate|allow|requires?|needs?|disabled|turned\ off|switched\ off|without|switch\ on|missing|blocked|off).{0,40}\b(?:java\ ?scripts?|scripts?|(?:client-side\ )?scripting|cookies?|js)\b|\b(?:java\ ?scripts?|scripts?|scripting|cookies?)\b.{0,40}(?:enabled?|disabled|turned\ off|switched\ off|required?|needed|necessary|must|allowed|blocked|missing|activated|\bon\b|\boff\b)
+(?:enable|turn\ on|activate|allow|requires?|needs?|disabled|turned\ off|switched\ off|without|switch\ on|missing|blocked|off).{0,40}\b(?:java\ ?scripts?|scripts?|(?:client-side\ )?scripting|cookies?|js)\b|\b(?:java\ ?scripts?|scripts?|scripting|cookies?|js)\b.{0,40}(?:enabled?|disabled|turned\ off|switched\ off|required?|needed|necessary|must|allowed|blocked|missing|activated|\bon\b|\boff\b)
 |\bbrowser\b.{0,40}\b(?:not\ supported|does\ not\ (?:run|support)|unsupported|too\ old|out\ of\ date|outdated|run\ scripts)\b|\bchecking\ your\ browser\b|\breload\ (?:the|this)\ page\b|^\W*loading\W*$|\bin\ the\ settings\ of\ your\ browser\b|\bupdate\ your\ browser\b|\bother\ browser\b|\bverify(?:ing)?\ (?:that\ )?you\ are\ (?:a\ )?human|\bare\ you\ a\ robot
 |\b(?:java\ ?script|(?:client-side\ )?scripting|js|skripte?|cookies?)\b.{0,40}(?:benötigt|aktivier|erforderlich|abgeschaltet|ausgeschaltet|deaktiviert|erlaub|zulassen|nötig|einschalten)|(?:aktivier|benötig|erlaub|schalten|einschalten).{0,40}\b(?:java\ ?script|scripting|js|skripte?|cookies?)\b|\bbrowser\b.{0,30}(?:keine\ skripte|nicht\ unterstützt|veraltet|geprüft|überprüf)|\blade[nt]?\b.{0,20}\bneu\b|^\W*wird\ geladen\W*$|\bseite\ neu\ laden|in\ den\ einstellungen\b
 |(?:activer|activez|nécessite|requiert|autoriser|autorisez|désactivé|sans|besoin|exige).{0,40}\b(?:java\ ?script|(?:client-side\ )?script(?:s|ing)?|cookies?|js)\b|\b(?:java\ ?script|scripts?|cookies?)\b.{0,40}(?:activé|désactivé|acceptés?|nécessaires?|requis|autorisés?|obligatoire|bloqué)|\bnavigateur\b.{0,40}(?:pris\ en\ charge|obsolète|scripts|vérifi|pas)|vérification\ de\ votre\ navigateur|\brecharge[zr]\b|\bactualise[zr]\b|^\W*chargement(?:\ en\ cours)?\W*$|réglages\ de\ votre\ navigateur|paramètres\ (?:de|du)\ (?:votre\ )?navigateur
-|(?:java\ ?script|scripting|\bjs\b|スクリプト|cookie|クッキー).{0,24}(?:有効|必要|無効|許可|オン|オフ|動作|実行)|ブラウザ.{0,24}(?:対応|確認|設定|古い|サポート|動作)|(?:お使いの|この)ブラウザ|再読み込み|^\W*読み込み中\W*$|更新してください
+|(?:java\ ?script|scripting|(?<![A-Za-z])js(?![A-Za-z])|スクリプト|cookie|クッキー).{0,24}(?:有効|必要|無効|許可|オン|オフ|動作|実行)|ブラウザ.{0,24}(?:対応|確認|設定|古い|サポート|動作)|(?:お使いの|この)ブラウザ|再読み込み|^\W*読み込み中\W*$|更新してください
 """
 #: Menu and footer lines (fixed values).
 NEUTRAL = r"""
@@ -115,7 +115,7 @@ _PLACEHOLDERS = {k: re.compile(v) for k, v in PLACEHOLDERS.items()}
 _INSTRUCTIONS, _FILLER, _ERRORS, _SCRIPTS, _NEUTRAL, _MENTION, _RUNS = map(_compile, (INSTRUCTIONS, FILLER, ERRORS, SCRIPTS, NEUTRAL, MENTION, RUNS))
 _TAG = re.compile(r"</?(?:" + "|".join(_ELEMENTS) + r")\b[^<>\n]*>|<!--.*?(?:-->|\Z)|<!doctype[^<>]*>", re.IGNORECASE | re.DOTALL)
 _USAGE = re.compile(r"^\s*(?:usage:|options:|synopsis|-{1,2}\w[\w-]*[ ,=<\[{$]|\$ \w)|^\s*exit status|\[-\w|^(?: {2,}|\t)(?:-|\w+\s*[({=]|<\w+>\s{2,})", re.IGNORECASE)
-_TRACE = re.compile(r"^\s*(?:File \".{0,80}\", line \d+|at [\w$.<>]+\([\w.]*:?\d*\)|Traceback \(most recent call)")
+_TRACE = re.compile(r"^\s*(?:File \".{0,80}\", line \d+|at [\w$.<>]+\([\w.]*:?\d*\)|Traceback \(most recent call)", re.IGNORECASE)
 _SPLIT = re.compile(r"\r\n|[\n\r  \x0b\x0c\x85]|(?<=[.!?…])\s+(?=[^\s])|(?<=[。！？])|\s[-–—|·•]\s|[|｜]|(?:©|\(c\)) ?[\w.-]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
@@ -221,7 +221,7 @@ def _latin(words: list[str]) -> bool:
 
 
 def judge(segment: str) -> str:
-    """One of template, filler, error, script, prose, neutral, symbols (a run without letters), empty."""
+    """One of template, filler, error, script, prose, neutral, menu, symbols (a run without letters), empty."""
     s = segment.strip()
     if not s or not any(c.isalnum() for c in s):
         return "symbols" if len(s) >= 24 and len(set(s)) <= 4 else "empty"
@@ -230,7 +230,7 @@ def judge(segment: str) -> str:
     if _TRACE.search(s):
         return "error"
     if _NEUTRAL.search(s):
-        return "neutral"
+        return "menu"
     words = _WORD.findall(s)
     open_text = QUOTED.sub(" ", s)
     mention = bool(_MENTION.search(s)) and (bool(_END.search(s)) or len(words) > 7)
@@ -281,7 +281,7 @@ def assess(text: str | None) -> tuple[str | None, float]:
         n = len(segment.strip())
         if verdict == "neutral":
             free.append(n)
-        elif verdict != "empty":
+        elif verdict not in ("empty", "menu"):
             size[verdict] += n
             if size["prose"] > hopeless:
                 break
