@@ -25,11 +25,11 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("key").agg(F.min("v").alias("v"))
 
 
-def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(key, v MAP<STRING, DOUBLE>): usable lsh rows, each word once, at most 50 non-zero pairs."""
+def _sparse(spark: SparkSession, sf_dir: str, limit: int | None = 50) -> DataFrame:
+    """(key, v MAP<STRING, DOUBLE>): usable lsh rows, each word once, at most ``limit`` non-zero pairs (None: whole vectors)."""
     f = F.split("vec", "\t")
     t = table(spark, sf_dir, "lsh", "word", "vec").where(F.col("word").isNotNull() & (F.size(f) % 2 == 0) & F.forall(F.filter(f, lambda x, i: i % 2 == 1), lambda x: strict_number(x).isNotNull()))
-    return t.groupBy(F.col("word").alias("key")).agg(F.min("vec").alias("vec")).select("key", sparse_vector(F.col("vec"), limit=50).alias("v")).where(F.size("v") > 0)
+    return t.groupBy(F.col("word").alias("key")).agg(F.min("vec").alias("vec")).select("key", sparse_vector(F.col("vec"), limit=limit).alias("v")).where(F.size("v") > 0)
 
 
 def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +107,11 @@ def lsh_pairs_100(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.lsh_pairs(_sparse(spark, sf_dir), 0.7, 100, 15, 10).withColumn("cos", F.round("cos", 6))
 
 
+def lsh_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of whole vectors with cosine above 0.7, no window."""
+    return similarity.cosine_pairs(_sparse(spark, sf_dir, None), 0.7).withColumn("cos", F.round("cos", 6))
+
+
 K = 4
 
 
@@ -193,7 +198,7 @@ def roulette(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (vec_norm, measures, histogram_measures, vec_add_scale, euclid_top10, cosine_top10, sparse_measures, lsh_bits, lsh_candidates, lsh_pairs, lsh_pairs_100, kmeanspp_seed, kmeans_assign, kmeans_update, kmeans_dense, kmeans_converged, kmeans_cosine, kmeans_sparse, cop_kmeans, nmf_w, nmf_h, nmf_error, roulette)
+    for f in (vec_norm, measures, histogram_measures, vec_add_scale, euclid_top10, cosine_top10, sparse_measures, lsh_bits, lsh_candidates, lsh_pairs, lsh_pairs_100, lsh_pairs_all, kmeanspp_seed, kmeans_assign, kmeans_update, kmeans_dense, kmeans_converged, kmeans_cosine, kmeans_sparse, cop_kmeans, nmf_w, nmf_h, nmf_error, roulette)
 }
 
 _NUM = NUMBER.replace("'", "''").removeprefix("^").removesuffix("$")
@@ -286,6 +291,8 @@ ORACLES = {
     "lsh_candidates": f"{_LSH} SELECT a, b FROM cand",
     "lsh_pairs": f"{_LSH} SELECT a, b, round(cos, 6) AS cos FROM cs WHERE cos > 0.7",
     "lsh_pairs_100": f"{_lsh_sql(100, 15, 10)} SELECT a, b, round(cos, 6) AS cos FROM cs WHERE cos > 0.7",
+    "lsh_pairs_all": f"""WITH {_SPARSE}, al AS (SELECT key, dim, x FROM sp WHERE x <> 0 QUALIFY row_number() OVER (PARTITION BY key, dim ORDER BY i DESC) = 1), nrm AS (SELECT key, sqrt(sum(x * x)) AS n FROM al GROUP BY key),
+cs AS (SELECT u.key AS a, w.key AS b, sum(u.x * w.x) / any_value(na.n * nb.n) AS cos FROM al u JOIN al w ON u.dim = w.dim AND u.key < w.key JOIN nrm na ON na.key = u.key JOIN nrm nb ON nb.key = w.key GROUP BY u.key, w.key) SELECT a, b, round(cos, 6) AS cos FROM cs WHERE cos > 0.7""",
     "kmeanspp_seed": f"{_kmeans_sql(0)} SELECT CAST(cluster AS INT) AS cluster, v[1] AS first, v[16] AS last FROM m0",
     "kmeans_assign": f"{_kmeans_sql(0)} SELECT key, CAST(cluster AS INT) AS cluster FROM as1",
     "kmeans_update": f"{_kmeans_sql(1)} SELECT CAST(cluster AS INT) AS cluster, round(v[1], 6) AS first, round(v[16], 6) AS last FROM m1",

@@ -79,6 +79,25 @@ def test_lsh_pairs(spark):
     assert similarity.lsh_pairs(df.limit(0), 0.7, 6, 2, 3).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [1000, 7])
+def test_cosine_pairs_finds_what_the_window_loses(spark, chunk):
+    rng = np.random.default_rng(11)
+    dense = np.where(rng.random((150, 60)) < 0.15, rng.normal(0, 1, (150, 60)), 0)
+    dense[50:100] = dense[:50] * rng.uniform(0.1, 9) + np.where(dense[:50] != 0, rng.normal(0, 0.3, (50, 60)), 0)
+    dense[110:140] = dense[110]  # a copy group larger than the window
+    dense[149] = 0
+    rows = [(f"k{i:03d}", {f"d{j}": float(x) for j, x in enumerate(v) if x}) for i, v in enumerate(dense)]
+    df = spark.createDataFrame(rows, "key string, v map<string,double>")
+    unit = dense / np.maximum(np.linalg.norm(dense, axis=1), 1e-300)[:, None]
+    want = {(f"k{i:03d}", f"k{j:03d}") for i, j in zip(*np.nonzero(unit @ unit.T > 0.7)) if i < j}
+    got = similarity.cosine_pairs(df, 0.7, chunk).collect()
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want) > 435
+    assert all(r.cos == pytest.approx(unit[int(r.a[1:])] @ unit[int(r.b[1:])]) for r in got)
+    window = {(r.a, r.b) for r in similarity.lsh_pairs(df, 0.7, 10, 5, 5).collect()}
+    assert window < want
+    assert similarity.cosine_pairs(df.limit(0), 0.7, chunk).count() == 0
+
+
 def test_ratio_match(spark):
     left = spark.createDataFrame([(1, 0, [0.0, 0.0]), (2, 0, [5.0, 0.0]), (3, 1, [1.0, 1.0]), (4, 2, [0.0, 0.0])], "k bigint, s int, v array<double>")
     right = spark.createDataFrame([(10, 0, [0.1, 0.0]), (11, 0, [9.0, 0.0]), (12, 1, [3.0, 3.0])], "k bigint, s int, v array<double>")
