@@ -25,8 +25,8 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("key").agg(F.min("v").alias("v"))
 
 
-def _sparse(spark: SparkSession, sf_dir: str, limit: int | None = 50) -> DataFrame:
-    """(key, v MAP<STRING, DOUBLE>): usable lsh rows, each word once, at most ``limit`` non-zero pairs (None: whole vectors)."""
+def _sparse(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
+    """(key, v MAP<STRING, DOUBLE>): usable lsh rows, each word once; whole vectors, or their first ``limit`` non-zero pairs."""
     f = F.split("vec", "\t")
     t = table(spark, sf_dir, "lsh", "word", "vec").where(F.col("word").isNotNull() & (F.size(f) % 2 == 0) & F.forall(F.filter(f, lambda x, i: i % 2 == 1), lambda x: strict_number(x).isNotNull()))
     return t.groupBy(F.col("word").alias("key")).agg(F.min("vec").alias("vec")).select("key", sparse_vector(F.col("vec"), limit=limit).alias("v")).where(F.size("v") > 0)
@@ -103,13 +103,13 @@ def lsh_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lsh_pairs_100(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similar pairs of the large setting: 100 pivots, 15 shuffles, 10 neighbours either side."""
-    return similarity.lsh_pairs(_sparse(spark, sf_dir), 0.7, 100, 15, 10).withColumn("cos", F.round("cos", 6))
+    """Similar pairs of the large setting: 100 pivots, 15 shuffles, 10 neighbours either side, 50 non-zero pairs a vector."""
+    return similarity.lsh_pairs(_sparse(spark, sf_dir, 50), 0.7, 100, 15, 10).withColumn("cos", F.round("cos", 6))
 
 
 def lsh_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of whole vectors with cosine above 0.7, no window."""
-    return similarity.cosine_pairs(_sparse(spark, sf_dir, None), 0.7).withColumn("cos", F.round("cos", 6))
+    return similarity.cosine_pairs(_sparse(spark, sf_dir), 0.7).withColumn("cos", F.round("cos", 6))
 
 
 K = 4

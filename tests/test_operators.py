@@ -98,6 +98,17 @@ def test_cosine_pairs_finds_what_the_window_loses(spark, chunk):
     assert similarity.cosine_pairs(df.limit(0), 0.7, chunk).count() == 0
 
 
+def test_sparse_queries_read_whole_vectors(spark, tmp_path):
+    from cairn.plans import vectors as plans
+
+    long = "\t".join(f"d{j:02d}\t1" for j in range(60))
+    rows = [("a", long), ("b", "\t".join(f"d{j:02d}\t1" for j in range(50, 60)))]
+    spark.createDataFrame(rows, "word string, vec string").write.parquet(f"{tmp_path}/lsh.parquet")
+    got = {r.key: r for r in plans.sparse_measures(spark, str(tmp_path)).collect()}
+    assert got["a"].dot == 60 and got["b"].dot == 10  # the first 50 entries alone: 50 and 0
+    assert {r.key: r.bits for r in plans.lsh_bits(spark, str(tmp_path)).collect()} == {"a": "1100000000", "b": "1100000000"}
+
+
 def test_ratio_match(spark):
     left = spark.createDataFrame([(1, 0, [0.0, 0.0]), (2, 0, [5.0, 0.0]), (3, 1, [1.0, 1.0]), (4, 2, [0.0, 0.0])], "k bigint, s int, v array<double>")
     right = spark.createDataFrame([(10, 0, [0.1, 0.0]), (11, 0, [9.0, 0.0]), (12, 1, [3.0, 3.0])], "k bigint, s int, v array<double>")
