@@ -63,12 +63,17 @@ def bof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.bag_of_features(d, "image", "v", _words(d))
 
 
-def bof_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Most similar centroid through the truncated inverted index."""
+def bof_truncated(spark: SparkSession, sf_dir: str, postings: int = 5) -> DataFrame:
+    """Most similar centroid through the truncated inverted index, cut to 5 of the 8 centroids a dimension."""
     d = _descriptors(spark, sf_dir)
     rows = [(c, i, float(x)) for c, v in enumerate(_words(d)) for i, x in enumerate(v)]
     centroids = spark.createDataFrame(rows, "cluster int, dim int, x double")
-    return ops.truncated_similarity(d, "vec_id", "v", centroids, postings=5)
+    return ops.truncated_similarity(d, "vec_id", "v", centroids, postings)
+
+
+def bof_truncated_100(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the reference's 100 postings a dimension: no centroid is cut."""
+    return bof_truncated(spark, sf_dir, 100)
 
 
 def lsh_bof(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +185,7 @@ def hu_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (visual_word, visual_word_hist, visual_word_soft, label_join, positional_join, bof, bof_truncated, lsh_bof, ratio_match, ratio_match_pair, descriptor_dump, row_sample, singleton_ratio, stratified_split, naive_bayes_accuracy, vw_training, color_histogram, hog_top10, rank_hist_hog, emd_top10, hu_match)
+    for f in (visual_word, visual_word_hist, visual_word_soft, label_join, positional_join, bof, bof_truncated, bof_truncated_100, lsh_bof, ratio_match, ratio_match_pair, descriptor_dump, row_sample, singleton_ratio, stratified_split, naive_bayes_accuracy, vw_training, color_histogram, hog_top10, rank_hist_hog, emd_top10, hu_match)
 }
 
 _D = f"""d AS (SELECT vec_id, vec_id // 10 AS image, vec_id % 2 AS sign, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
@@ -203,6 +208,9 @@ ORACLES = {
     "bof": f"WITH {_D}, s AS (SELECT vec_id, any_value(image) AS image, CAST(arg_min(vword, (round(-({_COS}), 12), vword)) AS INT) AS vword FROM d CROSS JOIN w GROUP BY vec_id) SELECT image, vword, count(*) AS n FROM s GROUP BY ALL",
     "bof_truncated": f"""WITH {_D}, ix AS (SELECT vword, i - 1 AS dim, c[i] AS x FROM (SELECT vword, c, unnest(range(1, 65)) AS i FROM w) QUALIFY row_number() OVER (PARTITION BY i ORDER BY abs(c[i]) DESC, vword) <= 5),
 qk AS (SELECT vec_id, i - 1 AS dim, v[i] AS y FROM (SELECT vec_id, v, unnest(range(1, 65)) AS i FROM d) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY abs(v[i]) DESC, i) <= 20),
+s AS (SELECT vec_id, vword, round(sum(x * y), 9) AS s FROM qk JOIN ix USING (dim) GROUP BY ALL) SELECT vec_id, CAST(arg_min(vword, (-s, vword)) AS INT) AS cluster FROM s GROUP BY vec_id""",
+    "bof_truncated_100": f"""WITH {_D}, ix AS (SELECT vword, i - 1 AS dim, c[i] AS x FROM (SELECT vword, c, unnest(range(1, 65)) AS i FROM w) QUALIFY row_number() OVER (PARTITION BY i ORDER BY abs(c[i]) DESC, vword) <= 100),
+qk AS (SELECT vec_id, i - 1 AS dim, v[i] AS y FROM (SELECT vec_id, v, unnest(range(1, 65)) AS i FROM d) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY abs(v[i]) DESC, i) <= 20),
 s AS (SELECT vec_id, vword, round(sum(x * y), 9) AS s FROM qk JOIN ix USING (dim) GROUP BY ALL) SELECT vec_id, CAST(arg_min(vword, (-s, vword)) AS INT) AS cluster FROM s GROUP BY vec_id""",
     "lsh_bof": f"WITH {_D} SELECT image, bin, count(*) AS n FROM ({_BIN}) GROUP BY ALL",
     "ratio_match": f"WITH {_D}, {_MATCH} SELECT image, CAST(sum(CASE WHEN a.dist < 0.9::DOUBLE * coalesce(b.dist, 1e6) THEN 1 ELSE 0 END) AS BIGINT) AS matches, count(*) AS total FROM (SELECT * FROM r WHERE rn = 1) a LEFT JOIN (SELECT image, tk, dist FROM r WHERE rn = 2) b USING (image, tk) GROUP BY image",

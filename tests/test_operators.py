@@ -109,6 +109,24 @@ def test_sparse_queries_read_whole_vectors(spark, tmp_path):
     assert {r.key: r.bits for r in plans.lsh_bits(spark, str(tmp_path)).collect()} == {"a": "1100000000", "b": "1100000000"}
 
 
+def _embeddings(spark, folder, n=40):
+    x = np.random.default_rng(8).normal(0, 0.5, (n, 64))
+    rows = [(i, list(map(float, v)), i % 3) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    return x
+
+
+def test_bof_truncated_100_keeps_every_centroid(spark, tmp_path):
+    from cairn.plans import bags
+
+    x = _embeddings(spark, tmp_path)
+    words = np.array(bags._words(bags._descriptors(spark, str(tmp_path))))
+    query = np.where(np.argsort(np.argsort(-np.abs(x), axis=1, kind="stable"), axis=1) < 20, x, 0)
+    got = {r.vec_id: r.cluster for r in bags.bof_truncated_100(spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate((query @ words.T).argmax(1).tolist()))
+    assert got != {r.vec_id: r.cluster for r in bags.bof_truncated(spark, str(tmp_path)).collect()}
+
+
 def test_ratio_match(spark):
     left = spark.createDataFrame([(1, 0, [0.0, 0.0]), (2, 0, [5.0, 0.0]), (3, 1, [1.0, 1.0]), (4, 2, [0.0, 0.0])], "k bigint, s int, v array<double>")
     right = spark.createDataFrame([(10, 0, [0.1, 0.0]), (11, 0, [9.0, 0.0]), (12, 1, [3.0, 3.0])], "k bigint, s int, v array<double>")
