@@ -42,14 +42,23 @@ def visual_word_soft(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.soft_histogram(d, "image", "v", _words(d)).withColumn("w", F.round("w", 6))
 
 
-def label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of the descriptors whose images exist, and how many descriptors have none."""
-    d = _descriptors(spark, sf_dir)
-    labels = ops.quantise(d, "v", _words(d)).where("vword <> 3").select("vec_id", "vword")
+def _label_counts(d: DataFrame, labels: DataFrame) -> DataFrame:
     hit, missed = ops.join_labels(d.select("image", "vec_id"), labels, "vec_id")
     return hit.groupBy("vword").agg(F.count(F.lit(1)).alias("n")).unionByName(missed.agg(F.lit(-1).alias("vword"), F.count(F.lit(1)).alias("n")))
 
 
+def label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the descriptors whose images exist, and how many descriptors have none; word 3 has no labels here, to have misses."""
+    d = _descriptors(spark, sf_dir)
+    return _label_counts(d, ops.quantise(d, "v", _words(d)).where("vword <> 3").select("vec_id", "vword"))
+
+
+def label_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same against all labels."""
+    d = _descriptors(spark, sf_dir)
+    return _label_counts(d, ops.quantise(d, "v", _words(d)).select("vec_id", "vword"))
+
+
 def positional_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words by running position against per-image counts."""
     d = _descriptors(spark, sf_dir)
@@ -185,7 +194,7 @@ def hu_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (visual_word, visual_word_hist, visual_word_soft, label_join, positional_join, bof, bof_truncated, bof_truncated_100, lsh_bof, ratio_match, ratio_match_pair, descriptor_dump, row_sample, singleton_ratio, stratified_split, naive_bayes_accuracy, vw_training, color_histogram, hog_top10, rank_hist_hog, emd_top10, hu_match)
+    for f in (visual_word, visual_word_hist, visual_word_soft, label_join, label_join_all, positional_join, bof, bof_truncated, bof_truncated_100, lsh_bof, ratio_match, ratio_match_pair, descriptor_dump, row_sample, singleton_ratio, stratified_split, naive_bayes_accuracy, vw_training, color_histogram, hog_top10, rank_hist_hog, emd_top10, hu_match)
 }
 
 _D = f"""d AS (SELECT vec_id, vec_id // 10 AS image, vec_id % 2 AS sign, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
@@ -204,6 +213,7 @@ ORACLES = {
     "visual_word_hist": f"WITH {_D}, {_Q} SELECT image, vword, count(*) AS n FROM q GROUP BY ALL",
     "visual_word_soft": f"WITH {_D}, s AS (SELECT vec_id, image, vword, sqrt({_SQ.format(a='v', b='c')}) AS dist FROM d CROSS JOIN w QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, vword) <= 5) SELECT image, CAST(vword AS INT) AS vword, round(sum(1 / (1 + dist)), 6) AS w FROM s GROUP BY ALL",
     "label_join": f"WITH {_D}, {_Q} SELECT CASE WHEN vword = 3 THEN -1 ELSE vword END AS vword, count(*) AS n FROM q GROUP BY ALL UNION ALL SELECT -1, 0 WHERE NOT EXISTS (SELECT 1 FROM q WHERE vword = 3)",
+    "label_join_all": f"WITH {_D}, {_Q} SELECT vword, count(*) AS n FROM q GROUP BY ALL UNION ALL SELECT -1, 0",
     "positional_join": f"WITH {_D}, {_Q}, l AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS pos, vword FROM q), n AS (SELECT image, count(*) AS n FROM d GROUP BY image), s AS (SELECT image, sum(n) OVER (ORDER BY image) AS upto, n FROM n) SELECT image, vword, count(*) AS n FROM s JOIN l ON pos >= upto - n AND pos < upto GROUP BY ALL",
     "bof": f"WITH {_D}, s AS (SELECT vec_id, any_value(image) AS image, CAST(arg_min(vword, (round(-({_COS}), 12), vword)) AS INT) AS vword FROM d CROSS JOIN w GROUP BY vec_id) SELECT image, vword, count(*) AS n FROM s GROUP BY ALL",
     "bof_truncated": f"""WITH {_D}, ix AS (SELECT vword, i - 1 AS dim, c[i] AS x FROM (SELECT vword, c, unnest(range(1, 65)) AS i FROM w) QUALIFY row_number() OVER (PARTITION BY i ORDER BY abs(c[i]) DESC, vword) <= 5),

@@ -127,6 +127,17 @@ def test_bof_truncated_100_keeps_every_centroid(spark, tmp_path):
     assert got != {r.vec_id: r.cluster for r in bags.bof_truncated(spark, str(tmp_path)).collect()}
 
 
+def test_label_join_all_uses_every_label(spark, tmp_path):
+    from cairn.plans import bags
+
+    _embeddings(spark, tmp_path)
+    got = {r.vword: r.n for r in bags.label_join_all(spark, str(tmp_path)).collect()}
+    assert got.pop(-1) == 0 and sum(got.values()) == 40 and got[3] > 0
+    d = spark.createDataFrame([(0, 1), (0, 2), (1, 3)], "image bigint, vec_id bigint")
+    labels = spark.createDataFrame([(1, 3), (2, 3), (9, 4)], "vec_id bigint, vword int")
+    assert {r.vword: r.n for r in bags._label_counts(d, labels).collect()} == {3: 2, -1: 1}
+
+
 def test_ratio_match(spark):
     left = spark.createDataFrame([(1, 0, [0.0, 0.0]), (2, 0, [5.0, 0.0]), (3, 1, [1.0, 1.0]), (4, 2, [0.0, 0.0])], "k bigint, s int, v array<double>")
     right = spark.createDataFrame([(10, 0, [0.1, 0.0]), (11, 0, [9.0, 0.0]), (12, 1, [3.0, 3.0])], "k bigint, s int, v array<double>")
