@@ -37,7 +37,17 @@ def current_size(spark: SparkSession, store: str) -> DataFrame:
     return spark.read.parquet(f"{store}/size").agg(F.sum("n").alias("n"))
 
 
-def windowed_counts(events: DataFrame, time: str, key: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """(start, key, n) of a stream: tumbling windows on event time, rows later than ``late`` are left out."""
-    counted = events.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
-    return counted.select(F.col("w.start").alias("start"), key, "n")
+def windowed_counts(events: DataFrame, time: str, key: str, store: str, checkpoint: str, width: str = "1 hour", once: bool = True) -> StreamingQuery:
+    """Start counting a stream into ``store`` by tumbling windows on event time; rows count however late they arrive."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        counted = batch.groupBy(F.window(time, width).alias("w"), F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+        counted.select(F.col("w.start").alias("start"), "key", "n").write.mode("overwrite").parquet(f"{store}/windows/batch={number}")
+
+    writer = events.select(time, key).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def current_windows(spark: SparkSession, store: str) -> DataFrame:
+    """(start, key, n) over all batches so far."""
+    return spark.read.parquet(f"{store}/windows").groupBy("start", "key").agg(F.sum("n").alias("n"))

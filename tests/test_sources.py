@@ -116,6 +116,15 @@ def test_incremental_counts_equal_the_batch(spark, tmp_path):
     assert incremental.current_size(spark, str(tmp_path / "store")).first().n == 12
 
 
+def test_windowed_counts_keep_late_rows(spark, tmp_path):
+    for day in ("2024-03-09", "2024-03-10", "2024-03-01"):  # the last file is a week late
+        spark.createDataFrame([(f"{day} 10:{m:02d}:00", "a") for m in (5, 20)], "at string, k string").selectExpr("cast(at AS timestamp) AS at", "k").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("at timestamp, k string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    incremental.windowed_counts(stream, "at", "k", str(tmp_path / "store"), str(tmp_path / "cp")).awaitTermination()
+    rows = incremental.current_windows(spark, str(tmp_path / "store")).selectExpr("cast(start AS string) AS start", "key", "n").collect()
+    assert sorted(tuple(r) for r in rows) == [(f"2024-03-{d} 10:00:00", "a", 2) for d in ("01", "09", "10")]
+
+
 def test_image_kernels():
     rng = np.random.default_rng(1)
     image = rng.integers(0, 256, (40, 30, 3), dtype=np.uint8)
