@@ -11,7 +11,7 @@ a pre-token, and merges never cross pre-tokens. So
 * from any position that starts a pre-token both in the joined text and in the right part alone, the two scans
   are the same, as the scan keeps no memory of what came before.
 
-Long texts are halved down to leaves of LEAF characters, encoded in one batch and joined up the tree, so the
+Long texts are cut into leaves of LEAF characters, encoded in one batch and joined pairwise up the tree, so the
 library never sees a text longer than a leaf or a window.
 """
 
