@@ -1 +1 @@
-"""cairn: a PySpark-native data-mining engine built on DataFrames."""
+"""cairn: text, link, vector and image analytics as DataFrame plans."""

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,18 +25,50 @@ def session(app: str = "cairn", master: str = "local[*]", shuffle_partitions: in
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the shared folder the cluster names in ``spark.checkpoint.dir``; set a local one only where it is unset (tests)."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``, or the one set on the context.
+
+    Where both are unset, a local session (tests) gets a temporary folder of its own; a cluster has no folder that
+    all executors share, so that is an error.
+    """
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="cairn-checkpoint-"))
+    named = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if context.master != "local" and not context.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="cairn-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+@lru_cache(maxsize=None)
+def _run_folder(root: str, application: str) -> str:
+    """The folder of this application's tables below ``root``; removed when the process ends."""
+    folder = f"{root.rstrip('/')}/cairn-{application}"
+    atexit.register(_remove, folder)
+    return folder
+
+
+def _remove(folder: str) -> None:
+    jvm = SparkContext._jvm
+    if jvm is not None:
+        try:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+        except Exception:  # the JVM may be gone already; what is left lies in the checkpoint folder
+            return
+
 
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to a table in the shared checkpoint folder and go on from its files.
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the files: survives executor loss, ends the lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    That survives the loss of executors, ends the lineage, and gives the planner the true size of what follows:
+    unlike a checkpoint, whose size estimates multiply from join to join, it lets small sides be broadcast.
+    """
+    spark = df.sparkSession
+    folder = f"{_run_folder(checkpoint_dir(spark), spark.sparkContext.applicationId)}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def shuffle_width(spark: SparkSession) -> int:
