@@ -57,7 +57,7 @@ def test_k_nearest_recall(spark, cloud):
 def test_empty(spark):
     none = _frame(spark, np.zeros((0, 16)))
     assert similar.within_distance(none, 0.02, 16).count() == 0
-    assert spectral.spectral_clusters(none, 16)[0].count() == 0
+    assert spectral.spectral_clusters(none, 16).count() == 0
     empty = spark.createDataFrame([], "key string, dims array<string>, v array<double>")
     assert similar.above_cosine(empty, 0.8).count() == 0
 
@@ -71,18 +71,43 @@ def test_reading(spark):
     assert [(r.key, r.dims, r.v) for r in out] == [("a", ["x"], [3.0])]
 
 
-@pytest.mark.parametrize("chunk", [20_000, 37])
-def test_spectral_groups(spark, cloud, chunk):
-    chain = np.zeros((30, 16))
-    chain[:, 0] = np.arange(30) * 0.9 + 40  # linked one after the other, far apart end to end
-    x = np.concatenate([cloud, chain])
-    got = {r.key: (r.cluster_id, r["size"]) for r in spectral.spectral_clusters(_frame(spark, x), 16, chunk)[0].collect()}
+def _components(x):
     near = ((x[:, None] - x[None]) ** 2).sum(2) <= 1.0
     label = np.arange(len(x))
     while True:
         new = np.where(near, label[None], len(x)).min(1)
         if (new == label).all():
-            break
+            return label
         label = new
+
+
+@pytest.mark.parametrize("chunk", [20_000, 37])
+def test_spectral_groups(spark, cloud, chunk):
+    chain = np.zeros((3, 16))
+    chain[:, 0] = np.arange(3) * 0.9 + 40  # linked one after the other, far apart end to end
+    x = np.concatenate([cloud, chain])
+    out = spectral.spectral_clusters(_frame(spark, x), 16, chunk).persist()
+    got = {r.key: (r.cluster_id, r["size"]) for r in out.collect()}
+    label = _components(x)
     assert {k: v[0] for k, v in got.items()} == {f"k{i:05d}": f"k{c:05d}" for i, c in enumerate(label)}
-    assert got["k00660"][1] >= 1 and got[f"k{len(x) - 1:05d}"][1] == 30
+    assert got["k00660"][1] >= 1 and got[f"k{len(x) - 1:05d}"][1] == 3
+    typical = {r.cluster_id: list(r.typical) for r in spectral.typical_members(out, 16).collect()}
+    for c in np.unique(label):
+        members = np.flatnonzero(label == c)
+        inner = np.round((1 - ((x[members][:, None] - x[members][None]) ** 2).sum(2)).mean(1), 6)
+        assert typical[f"k{c:05d}"] == [f"k{members[i]:05d}" for i in np.lexsort((members, -inner))[:3]]
+
+
+def test_slow_chain_needs_further_levels(spark):
+    chain = np.zeros((24, 16))
+    chain[:, 3] = np.arange(24) * 0.95
+    got = spectral.spectral_clusters(_frame(spark, chain), 16).select("cluster_id").distinct().collect()
+    assert [r.cluster_id for r in got] == ["k00000"]
+
+
+def test_anchors_do_not_depend_on_the_chunk(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.ones((900, 16)), np.ones((300, 16)) + rng.normal(0, 0.2, (300, 16)), rng.uniform(-2, 2, (100, 16))])
+    points = _frame(spark, x)
+    nets = [{r.key: r.leader for r in spectral.anchor_net(points, 16, 1, chunk).collect()} for chunk in (2000, 200, 45)]
+    assert nets[0] == nets[1] == nets[2] and len({nets[0][f"k{i:05d}"] for i in range(900)}) == 1
