@@ -11,12 +11,17 @@ a pre-token, and merges never cross pre-tokens. So
 * from any position that starts a pre-token both in the joined text and in the right part alone, the two scans
   are the same, as the scan keeps no memory of what came before.
 
-Long texts are cut into leaves of LEAF characters, encoded in one batch and joined pairwise up the tree, so the
-library never sees a text longer than a leaf or a window.
+Every text is halved recursively down to leaves of at most LEAF characters, which is below the common length of a
+text. The leaves of many texts are encoded in one batch and joined pairwise up each text's tree, so the library never
+sees a text longer than a leaf or a window. Decoding concatenates bytes up the same kind of tree.
+
+The proof holds for a vocabulary that splits by the byte-level pattern without normalising first. ``splits_stably``
+reads that from the vocabulary file; with any other file a text is a single leaf, which is exact for every tokenizer.
 """
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,12 +35,12 @@ from pyspark.sql import functions as F
 from cairn.sources.tables import table
 
 VOCABULARIES = "/opt/tokenizers"
-#: Characters of a leaf; shorter texts are encoded whole.
-LEAF = 16_384
+#: Most characters of a leaf.
+LEAF = 256
 #: Characters past the end of a pre-token that its match may depend on (contractions look at two).
 LOOKAHEAD = 3
 #: First window on either side of a border; doubled until stable.
-WINDOW = 64
+WINDOW = 24
 #: Characters handed to the library at once.
 BATCH_CHARS = 2_000_000
 
@@ -53,6 +58,15 @@ def load(vocabulary: str):
     return tokenizer
 
 
+@lru_cache(maxsize=4)
+def splits_stably(vocabulary: str) -> bool:
+    """Whether the tokenizer in ``vocabulary`` splits as the proof of the joins demands."""
+    with open(vocabulary, encoding="utf-8") as f:
+        spec = json.load(f)
+    split = spec.get("pre_tokenizer") or {}
+    return spec.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+
+
 @dataclass
 class Piece:
     """The exact encoding of a text taken alone: ids, and for each pre-token its start and its first token."""
@@ -64,15 +78,9 @@ class Piece:
 
 
 def _piece(text: str, encoding) -> Piece:
-    starts: list[int] = []
-    firsts: list[int] = []
-    last = -1
-    for k, (word, (start, _)) in enumerate(zip(encoding.word_ids, encoding.offsets, strict=True)):
-        if word != last:
-            starts.append(start)
-            firsts.append(k)
-            last = word
-    return Piece(text, encoding.ids, starts, firsts)
+    words, offsets = encoding.word_ids, encoding.offsets
+    firsts = [k for k, (word, last) in enumerate(zip(words, [-1, *words])) if word != last]  # noqa: B905
+    return Piece(text, encoding.ids, [offsets[k][0] for k in firsts], firsts)
 
 
 def encode_piece(tokenizer, text: str) -> Piece:
@@ -129,25 +137,30 @@ def reduce_tree(tokenizer, leaves: list[Piece]) -> Piece:
     return leaves[0]
 
 
+def halves(text: str, leaf: int) -> list[str]:
+    """The leaves of a text: halved again and again until none has more than ``leaf`` characters."""
+    count = 1
+    while -(-len(text) // count) > leaf:
+        count *= 2
+    return [text[len(text) * k // count : len(text) * (k + 1) // count] for k in range(count)] if count > 1 else [text]
+
+
 def encode_texts(tokenizer, texts: list[str], leaf: int = LEAF) -> Iterator[list[int]]:
-    """The ids of each text in turn; texts of more than ``leaf`` characters through the tree."""
+    """The ids of each text in turn, every text through its tree."""
     k = 0
     while k < len(texts):
         parts: list[str] = []
         spans: list[tuple[int, int]] = []
         size = 0
         while k < len(texts) and (size < BATCH_CHARS or not spans):
-            text, first = texts[k], len(parts)
-            parts += [text] if len(text) <= leaf else [text[a : a + leaf] for a in range(0, len(text), leaf)]
+            first = len(parts)
+            parts += halves(texts[k], leaf)
             spans.append((first, len(parts)))
-            size += len(text)
+            size += len(texts[k])
             k += 1
         encodings = tokenizer.encode_batch(parts, add_special_tokens=False)
         for a, b in spans:
-            if b - a == 1:
-                yield encodings[a].ids
-            else:
-                yield reduce_tree(tokenizer, [_piece(parts[x], encodings[x]) for x in range(a, b)]).ids
+            yield encodings[a].ids if b - a == 1 else reduce_tree(tokenizer, [_piece(parts[x], encodings[x]) for x in range(a, b)]).ids
 
 
 def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: str = f"{VOCABULARIES}/byte_bpe_50k.json", leaf: int = LEAF) -> DataFrame:
@@ -163,7 +176,7 @@ def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: str = f"{VOCAB
         tokenizer = load(vocabulary)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            arrays = [np.asarray(ids, dtype=np.int32) for ids in encode_texts(tokenizer, texts, leaf)]
+            arrays = [np.asarray(ids, dtype=np.int32) for ids in encode_texts(tokenizer, texts, leaf if splits_stably(vocabulary) else max(map(len, texts), default=1) + 1)]
             offsets = np.zeros(len(arrays) + 1, dtype=np.int32)
             np.cumsum([len(a) for a in arrays], out=offsets[1:])
             values = np.concatenate(arrays) if arrays else np.zeros(0, dtype=np.int32)
@@ -180,19 +193,27 @@ def token_counts(df: DataFrame, key: str, text: str, vocabulary: str = f"{VOCABU
 def decode_corpus(df: DataFrame, key: str, ids: str, vocabulary: str = f"{VOCABULARIES}/byte_bpe_50k.json") -> DataFrame:
     """(key, text) of every row: the inverse of ``encode_corpus``. Null ids give a null text, an empty list an empty text.
 
-    Bytes are concatenated before they are read as UTF-8, as one character can span tokens.
+    Bytes are concatenated up the tree before they are read as UTF-8, as one character can span tokens.
     """
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _token_bytes(vocabulary)
         for batch in batches:
-            texts = [None if x is None else b"".join([tokens[i] for i in x]).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+            texts = [None if x is None else decode_tree(tokens, x).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])
 
     return df.select(F.col(key), F.col(ids).alias("ids")).mapInArrow(run, f"`{key}` {kind}, text string")
 
 
+def decode_tree(tokens: list[bytes], ids: list[int]) -> bytes:
+    """The bytes of ``ids``: those of its halves, one after the other."""
+    if len(ids) <= LEAF:
+        return b"".join([tokens[i] for i in ids])
+    middle = len(ids) // 2
+    return decode_tree(tokens, ids[:middle]) + decode_tree(tokens, ids[middle:])
+
+
 @lru_cache(maxsize=2)
 def _token_bytes(vocabulary: str) -> list[bytes]:
     """The bytes of each id, undoing the byte-to-character map of byte-level BPE."""

@@ -39,3 +39,19 @@ def test_corpus(spark, tokenizer):
     assert tk.encode_corpus(df.limit(0), "doc_id", "text").count() == 0
     back = tk.decode_corpus(tk.encode_corpus(df, "doc_id", "text"), "doc_id", "ids").collect()
     assert sorted(r["text"] for r in back) == sorted((r[1] or "") for r in rows)
+
+
+def test_every_text_takes_the_tree(tokenizer):
+    text = "Il était une fois, 12 petits ponts ; l'eau coulait. " * 30
+    assert len(tk.halves(text, tk.LEAF)) == 8 and "".join(tk.halves(text, tk.LEAF)) == text
+    assert next(tk.encode_texts(tokenizer, [text])) == tokenizer.encode(text, add_special_tokens=False).ids
+    tokens = tk._token_bytes(VOCABULARY)
+    assert tk.decode_tree(tokens, tokenizer.encode(text, add_special_tokens=False).ids).decode() == text
+
+
+def test_other_split_patterns_are_encoded_whole(spark):
+    other = f"{tk.VOCABULARIES}/word_bpe_49k.json"
+    assert tk.splits_stably(VOCABULARY) and not tk.splits_stably(other)
+    text = "Café AU lait  " * 200
+    got = tk.encode_corpus(spark.createDataFrame([(1, text)], "doc_id int, text string"), "doc_id", "text", other).collect()[0]["ids"]
+    assert got == tk.load(other).encode(text, add_special_tokens=False).ids
