@@ -1,9 +1,10 @@
 """Problem 9: documents, sized in tokens, packed into containers of fixed capacity by hierarchical residual packing.
 
-Round 1 packs groups of at most GROUP items by best fit, largest first. Nearly full bins are final; underfull
-bins go on as *items* of their fill level, are regrouped with underfull bins of other groups and packed again,
-until one group holds all that is left or a round no longer closes bins. No group ever exceeds about GROUP items,
-whatever the table's size, and only underfull bins travel.
+Round 1 packs groups of at most GROUP items by best fit, largest first. Nearly full bins are final; the underfull
+bins of FAN neighbouring groups then meet as *items* of their fill level and are packed again, up the tree until
+one group is left. Best fit leaves at most one bin of half the capacity or less in a group, and two bins of more than
+half can't be joined, so a group sends up that bin and its roomiest others, at most GROUP / FAN of them: no group
+ever exceeds GROUP bins, whatever the table's size, and the tree always ends, after log(groups) / log(FAN) levels.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from cairn.sources.tables import table
 GROUP = 20_000
 #: A bin filled to this share is nearly full and final.
 FULL = 0.98
-#: A round that leaves more than this share of its bins ends the tree.
-STALL = 0.995
-_BIN = "capacity_id int, capacity int, bin string, fill int, members array<struct<item:bigint,part:int,n:int>>, closed boolean"
+#: Groups whose underfull bins meet in one group of the next level.
+FAN = 8
+_BIN = "capacity_id int, capacity int, bin string, fill int, members array<struct<item:string,part:int,n:int>>, closed boolean"
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -50,8 +51,8 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One group of items or underfull bins of one capacity."""
+def _pack(pdf: pd.DataFrame, keep: int) -> pd.DataFrame:
+    """One group of items or underfull bins of one capacity; all bins but the ``keep`` emptiest are closed."""
     capacity_id, capacity = int(pdf["capacity_id"].iloc[0]), int(pdf["capacity"].iloc[0])
     # the order of rows in a group isn't fixed; that of names is
     pdf = pdf.sort_values(["fill", "bin"], ascending=[False, True], kind="stable")
@@ -60,14 +61,23 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     for inside in best_fit(fills, capacity):
         fill = sum(fills[k] for k in inside)
         rows.append((capacity_id, capacity, names[inside[0]], fill, [m for k in inside for m in members[k]], fill >= FULL * capacity or fill == 0))
-    return pd.DataFrame(rows, columns=["capacity_id", "capacity", "bin", "fill", "members", "closed"])
+    out = pd.DataFrame(rows, columns=["capacity_id", "capacity", "bin", "fill", "members", "closed"])
+    return out.assign(closed=out["closed"] | (out["fill"].rank(method="first") > keep))
+
+
+def _level(keep: int):
+    def level(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _pack(pdf, keep).assign(g=int(pdf["g"].iloc[0]))
+
+    return level
 
 
 def pack(items: DataFrame, key: str, size: str, capacities: list[tuple[int, int]], group: int = GROUP) -> DataFrame:
     """Assign every row of ``items`` to containers of each of ``capacities`` ((capacity_id, capacity > 0), a short list).
 
     Returns capacity_id, container, key, part, n_tokens: one row per item, but for items longer than the capacity,
-    which are cut into full containers (part 0, 1, ...) and one rest. No other item is ever split.
+    which are cut into full containers (part 0, 1, ...) and one rest. No other item is ever split. An item's name is
+    its key, its size and its number among equal rows, so containers don't depend on how the table is stored.
 
     Defined cases: a null or negative size counts as 0; an item of size 0 takes no room and shares a container;
     repeated keys and null keys are items of their own; an empty table gives no rows; extra columns are dropped;
@@ -75,30 +85,30 @@ def pack(items: DataFrame, key: str, size: str, capacities: list[tuple[int, int]
     """
     if any(c < 1 for _, c in capacities):
         raise ValueError("a capacity must be at least 1")
-    spark = items.sparkSession
     kind = items.schema[key].dataType.simpleString()
-    sized = cut(items.select(F.col(key).alias("key"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("int").alias("n")))
-    sized = sized.withColumn("item", F.monotonically_increasing_id())  # stable: the checkpoint's files don't change
+    sized = items.select(F.col(key).alias("key"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("int").alias("n"))
+    # rows of one key and size are interchangeable: counted, then numbered
+    sized = sized.groupBy("key", "n").agg(F.count(F.lit(1)).alias("copies")).select("key", "n", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    sized = cut(sized.select(F.concat_ws(":", F.coalesce(F.col("key").cast("string"), F.lit("null")), "n", "copy").alias("item"), "key", "n"))
     caps = F.array(*[F.struct(F.lit(i).alias("capacity_id"), F.lit(c).alias("capacity")) for i, c in capacities]) if capacities else F.array().cast("array<struct<capacity_id:int,capacity:int>>")
     each = sized.select("item", "n", F.inline(caps))
     parts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / F.col("capacity")).cast("int") - 1))
     cutup = each.select("item", "n", "capacity_id", "capacity", F.explode(parts).alias("part"))
     n = F.least(F.col("capacity"), F.col("n") - F.col("part") * F.col("capacity")).alias("fill")
-    bins = cutup.select("capacity_id", "capacity", F.concat_ws(":", F.col("item").cast("string"), F.col("part").cast("string")).alias("bin"), n, "item", "part")
+    bins = cutup.select("capacity_id", "capacity", F.concat_ws(":", "item", F.col("part").cast("string")).alias("bin"), n, "item", "part")
     bins = bins.select("capacity_id", "capacity", "bin", "fill", F.array(F.struct("item", "part", F.col("fill").alias("n"))).alias("members"), (F.col("fill") == F.col("capacity")).alias("closed"))
     final = bins.where("closed")
-    bins, count, level = bins.where("NOT closed"), sized.count() * max(1, len(capacities)), 0
-    while count:
-        groups = -(-count // (group * max(1, len(capacities))))
-        spread = F.pmod(F.xxhash64("bin", F.lit(level)), F.lit(groups)).alias("g")
-        packed = cut(bins.withColumn("g", spread).groupBy("capacity_id", "capacity", "g").applyInPandas(_pack, _BIN))
-        final = final.unionByName(packed.where("closed"))
-        bins = packed.where("NOT closed")
-        left = bins.count()
-        if groups == 1 or left > STALL * count:
-            final = final.unionByName(bins)
+    groups = max(1, -(-sized.count() // group))
+    open_bins = bins.where("NOT closed").withColumn("g", F.pmod(F.xxhash64("bin"), F.lit(groups)))
+    keep = max(1, group // FAN)
+    while True:
+        last = groups == 1
+        packed = cut(open_bins.groupBy("capacity_id", "capacity", "g").applyInPandas(_level(0 if last else keep), f"{_BIN}, g bigint"))
+        final = final.unionByName(packed.where("closed").drop("g"))
+        if last:
             break
-        count, level = left, level + 1
+        groups = -(-groups // FAN)
+        open_bins = packed.where("NOT closed").withColumn("g", F.floor(F.col("g") / FAN))
     out = final.select("capacity_id", F.concat_ws("-", F.col("capacity_id").cast("string"), "bin").alias("container"), F.inline("members"))
     keyed = out.join(sized.select("item", "key"), "item")
     return keyed.select("capacity_id", "container", F.col("key").cast(kind).alias(key), "part", F.col("n").alias("n_tokens"))
@@ -132,5 +142,29 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return used.join(F.broadcast(capacity), "capacity_id").select("capacity_id", "n_containers", "n_tokens", share)
 
 
-QUERIES = {"p9_packing": p9_packing, "p9_fill": p9_fill}
-ORACLES: dict[str, str] = {}
+def p9_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every packing must satisfy, per capacity, counted over all documents.
+
+    n_docs documents in it; n_lost of them whose parts don't add up to their tokens; n_overfull containers above the
+    capacity; n_torn documents divided though they fit, or divided other than into full parts and one rest.
+    """
+    packed = cut(p9_packing(spark, sf_dir))
+    docs, by_name = _sizes(spark, sf_dir)
+    capacity = table(spark, sf_dir, "pack_capacity", "capacity_id", F.col("capacity_tokens").alias("capacity"), "tokenizer")
+    sizes = None
+    for tokenizer in sorted(by_name):
+        some = token_counts(docs, "doc_id", "text", f"{VOCABULARIES}/{tokenizer}.json").withColumn("tokenizer", F.lit(tokenizer))
+        sizes = some if sizes is None else sizes.unionByName(some)
+    wanted = sizes.join(F.broadcast(capacity), "tokenizer").select("capacity_id", "doc_id", F.col("n_tokens").alias("size"))
+    each = packed.groupBy("capacity_id", "doc_id").agg(F.sum("n_tokens").alias("got"), F.count(F.lit(1)).alias("parts"), F.max("part").alias("last"))
+    whole = wanted.join(each, ["capacity_id", "doc_id"], "full").join(F.broadcast(capacity.drop("tokenizer")), "capacity_id")
+    fair = F.greatest(F.lit(1), F.ceil(F.col("size") / F.col("capacity")))
+    flag = lambda ok, name: F.sum(F.when(F.coalesce(ok, F.lit(False)), 0).otherwise(1)).alias(name)
+    found = whole.groupBy("capacity_id").agg(F.count("size").alias("n_docs"), flag(F.col("size") == F.col("got"), "n_lost"), flag((F.col("parts") == fair) & (F.col("last") == fair - 1), "n_torn"))
+    over = packed.groupBy("capacity_id", "container").agg(F.sum("n_tokens").alias("fill")).join(F.broadcast(capacity), "capacity_id")
+    over = over.groupBy("capacity_id").agg(F.sum(F.when(F.col("fill") > F.col("capacity"), 1).otherwise(0)).alias("n_overfull"))
+    return found.join(over, "capacity_id").select("capacity_id", "n_docs", "n_lost", "n_overfull", "n_torn")
+
+
+QUERIES = {"p9_packing": p9_packing, "p9_fill": p9_fill, "p9_check": p9_check}
+ORACLES = {"p9_check": "SELECT capacity_id, (SELECT count(*) FROM documents) AS n_docs, 0 AS n_lost, 0 AS n_overfull, 0 AS n_torn FROM pack_capacity"}

@@ -15,7 +15,7 @@ def test_best_fit_never_overfills():
     assert len(bins) <= 1.02 * sum(sizes) / 100 + 1
 
 
-@pytest.mark.parametrize("group", [50, 20_000])
+@pytest.mark.parametrize("group", [16, 50, 20_000])
 def test_pack(spark, group):
     rng = random.Random(2)
     rows = [(i, rng.choice([0, 1, 5, 30, 60, 99, 100, 101, 250])) for i in range(600)] + [(None, 7), (3, 7), (3, None)]
@@ -46,3 +46,11 @@ def test_pack_nothing(spark):
     assert packing.pack(df, "doc_id", "n", [(1, 10)]).count() == 0
     with pytest.raises(ValueError):
         packing.pack(df, "doc_id", "n", [(1, 0)])
+
+
+def test_containers_do_not_depend_on_the_layout(spark):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i % 90, rng.randint(0, 70)) for i in range(500)], "doc_id int, n int")
+    first = packing.pack(df.repartition(3), "doc_id", "n", [(1, 100)], 40)
+    again = packing.pack(df.orderBy("n").coalesce(1), "doc_id", "n", [(1, 100)], 40)
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, again.collect()))
