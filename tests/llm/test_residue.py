@@ -1,6 +1,7 @@
 import pytest
 
 from cairn.llm.residue import assess, find_residue
+from tests.llm import residue_texts as texts
 
 RESIDUE = [
     ("404 Not Found\nThe page you asked for may have been moved or deleted.\n© host.example", "error"),
@@ -48,3 +49,20 @@ def test_find_residue(spark):
     got = sorted(find_residue(df, "doc_id", "text").collect(), key=str)
     assert sorted((r["doc_id"] or 0, r["kind"]) for r in got if r["kind"]) == [(1, "error"), (1, "error")] and len(got) == 5
     assert find_residue(df.limit(0), "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("lang", sorted(texts.REAL))
+def test_texts_written_without_the_tables(lang):
+    kept = [t for t in texts.REAL[lang] if assess(t)[0] is None]
+    found = [t for t in texts.RESIDUE[lang] if assess(t)[0]]
+    assert len(texts.REAL[lang]) >= 50 and len(texts.RESIDUE[lang]) >= 50
+    assert len(found) >= 0.95 * len(texts.RESIDUE[lang])
+    assert len(texts.REAL[lang]) - len(kept) <= 0.05 * len(found)
+
+
+def test_odd_letters_meet_every_pattern():
+    assert assess("404 Not Found – the requeſted page does not exiſt.")[0] == "error"
+
+
+def test_long_placeholder_names():
+    assert assess("{{" + "very long field name " * 20 + "}}")[0] == "template"
