@@ -1,11 +1,14 @@
 """Problem 1: markup residue in text documents, separated from content by minimum-cut labelling.
 
 A text is read into nodes: candidates for markup (tags, references, commands, link brackets, emphasis marks, ...)
-and the runs of text between them. A log-linear classifier gives each node its log-odds of being markup or
-boilerplate; these become the terminal capacities of a flow network (source = residue, sink = content). Smoothness
-edges join neighbours on a line, neighbouring lines, and nodes under the same construct (element, template, table,
-environment: the DOM). The minimum cut labels every node at the least total cost, so weak candidates (a lone row
-of bars, an escaped percent sign) are residue beside firm markup of their own kind and stay text elsewhere.
+and the runs of text between them. Two classifiers give each node its log-odds of being markup or boilerplate: stated
+weights by kind of candidate, and for text in an element tree a logistic regression (see ``boilerplate``) on link
+density, length, little words, sentence ends and the elements around, fitted on a small labelled sample. The log-odds
+become the terminal capacities of a flow network (source = residue, sink = content). Smoothness edges join candidates
+on a line, on neighbouring lines and under the same construct (template, table, environment), and text runs by the
+element tree: those of one block, and the neighbouring blocks of one parent. The minimum cut labels every node at the
+least total cost, so weak candidates (a lone row of bars, an escaped percent sign) are residue beside firm markup of
+their own kind and stay text elsewhere, and an entry of a menu goes the way of its menu, a short line that of its prose.
 
 What the cut labels residue is converted: headings, list items, code blocks, formulas and table cells keep a plain
 mark, links keep their text, boilerplate constructs (categories, redirects, scripts, comments, citations) vanish.
@@ -23,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.llm import boilerplate
 from cairn.sources.tables import table
 
 KINDS = ("html", "latex", "markdown", "wiki")
@@ -30,6 +34,10 @@ KINDS = ("html", "latex", "markdown", "wiki")
 SAME_LINE, NEXT_LINE, SAME_CONSTRUCT = 1.0, 0.8, 1.6
 #: Smoothness between a candidate and the text run beside it.
 BESIDE_TEXT = 0.1
+#: Smoothness between text runs of one block, and between neighbouring blocks of one parent.
+SAME_BLOCK, SIBLINGS = 2.0, 1.2
+#: Log-odds of text outside any element tree.
+PLAIN = -3.0
 
 #: Element names (fixed values).
 ELEMENTS = frozenset(
@@ -91,7 +99,7 @@ _DECL = re.compile(r"<!--.*?(?:-->|\Z)|<!(?:doctype|\[cdata\[)[^<>]*(?:>|\Z)|<\?
 _SCRIPT = re.compile(r"<(script|style)\b[^<>]*>.*?(?:</\1\s*>|\Z)", re.IGNORECASE | re.DOTALL)
 _ENTITY = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 _PATH = re.compile(r"(?<![A-Za-z])[A-Za-z]:\\[^\s\"'<>|]*|(?<!\S)\\\\[A-Za-z][\w.-]*\\[^\s\"'<>|]*")
-_COMMAND = re.compile(r"\\([A-Za-z]+)\*?((?:\[[^\[\]\n]{0,60}\])?)(\{(?:[^{}\n]|\{[^{}\n]*\})*\}|\{[^{}\n]*\Z)?")
+_COMMAND = re.compile(r"\\([A-Za-z]+)\*?((?:\[[^\[\]\n]*\])?)(\{(?:[^{}\n]|\{[^{}\n]*\})*\}|\{[^{}\n]*\Z)?")
 _FORMULA = re.compile(r"\\\[.*?(?:\\\]|\Z)|\\\(.*?(?:\\\)|\Z)|\$\$.*?(?:\$\$|\Z)", re.DOTALL)
 _INLINE = re.compile(r"(?<![\\$\w])\$(?=[^\s$])([^$\n]*?[^\s$\\])\$(?![\w$])")
 _ESCAPE = re.compile(r"\\([,;:!%&#_{}$|]|\\(?=\s|\Z|\[|\*))|(?<=[^\s~])~(?=\\[A-Za-z])")
@@ -105,21 +113,21 @@ _REDIRECT = re.compile(r"^[ \t]*#(?:redirect(?:ion)?|weiterleitung|転送)\b[^\n
 _QUOTES = re.compile(r"(?<!')('{5}|'{2,3})(?!')")
 _WIKI_HEAD = re.compile(r"^(={1,6})(?!=)[ \t]*([^=\n](?:[^\n]*?[^=\n])?)[ \t]*(?:(\1)(?!=)[ \t]*\r?$|(={0,5}[ \t]*\Z))", re.MULTILINE)
 _WIKI_TABLE = re.compile(r"^[ \t]*(?:\{\|[^\n]*|\|\}|\|-[^\n|]*$|\|\+[^\n]*|![^\n]*?(?:!!|\|\|)[^\n]*|\|(?![-}+|])[^\n]*?\|\|[^\n]*)", re.MULTILINE)
-_WIKI_FIELD = re.compile(r"^[ \t]*\|[ \t]*[\w -]{1,40}[ \t]*=[^\n]*|^[ \t]*\|[ \t]*\w{0,20}\Z", re.MULTILINE)
+_WIKI_FIELD = re.compile(r"^[ \t]*\|[\w \t-]+=[^\n]*|^[ \t]*\|[ \t]*\w*\Z", re.MULTILINE)
 _DEFINITION = re.compile(r"^;[ \t]*\S[^\n]*?[ \t]:[ \t]", re.MULTILINE)
 _SIGNATURE = re.compile(r"(?<!~)~{4,5}(?!~)(?!\S*\n(?:.*\n)*?~{4})")
 _MAGICS = re.compile(r"__([A-Z]{3,20})__")
 
 _ATX = re.compile(r"^ {0,3}(#{1,6})[ \t]+(?=\S)|[ \t]+#{1,6}[ \t]*\r?$", re.MULTILINE)
-_SETEXT = re.compile(r"^(?=[^\n]*[^\W_])(?![ \t]*[>|#={*-])[^\n]{1,200}\n {0,3}(={3,}|-{3,})[ \t]*\r?$", re.MULTILINE)
+_SETEXT = re.compile(r"^(?=[^\n]*[^\W_])(?![ \t]*[>|#={*-])[^\n]+\n {0,3}(={3,}|-{3,})[ \t]*\r?$", re.MULTILINE)
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})[^\n`]*$", re.MULTILINE)
-_CODE = re.compile(r"(?<!`)`(?!`)[^`\n]+`(?!`)|(?<!`)``(?!`)[^\n]+?``(?!`)|(?<!`)`(?![`\s])[^`\n]{0,80}\Z")
-_STRONG = re.compile(r"(?<![*\w\\])(\*{1,3})(?=[^\s*])([^*\n]*[^\s*])\1(?![*\w])|(?<=[぀-鿿])(\*{1,3})(?=[^\s*])([^*\n]*[^\s*])\3(?!\*)|(?<![*A-Za-z0-9\\])(\*{1,3})(?=[^\s*])([^*\n]*[^\s*])\5(?=[぀-鿿])|(?<![*\w])\*\*(?=[^\s*])[^*\n]{0,200}\Z")
-_UNDER = re.compile(r"(?<![A-Za-z0-9_\\/])(_{1,3})(?=[^\s_])([^_\n]*[^\s_])\1(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])__(?=[^\s_])[^_\n]{0,200}\Z")
-_STRIKE = re.compile(r"(?<!~)~~(?=[^\s~])[^~\n]*[^\s~]~~(?!~)|(?<!~)~~(?=[^\s~])[^~\n]{0,200}\Z")
+_CODE = re.compile(r"(?<!`)`(?!`)[^`\n]+`(?!`)|(?<!`)``(?!`)[^\n]+?``(?!`)|(?<!`)`(?![`\s])[^`\n]*\Z")
+_STRONG = re.compile(r"(?<![*\w\\])(\*{1,3})(?=[^\s*])([^*\n]*[^\s*])\1(?![*\w])|(?<=[぀-鿿])(\*{1,3})(?=[^\s*])([^*\n]*[^\s*])\3(?!\*)|(?<![*A-Za-z0-9\\])(\*{1,3})(?=[^\s*])([^*\n]*[^\s*])\5(?=[぀-鿿])|(?<![*\w])\*\*(?=[^\s*])[^*\n]*\Z")
+_UNDER = re.compile(r"(?<![A-Za-z0-9_\\/])(_{1,3})(?=[^\s_])([^_\n]*[^\s_])\1(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])__(?=[^\s_])[^_\n]*\Z")
+_STRIKE = re.compile(r"(?<!~)~~(?=[^\s~])[^~\n]*[^\s~]~~(?!~)|(?<!~)~~(?=[^\s~])[^~\n]*\Z")
 _MD_LINK = re.compile(r"(!?)\[([^\[\]\n]*)\](\((?:[^\s()]*(?:[ \t]+\"[^\"\n]*\")?\)|[^\s()]*\Z)|\[[^\[\]\n]*\])")
-_FOOTNOTE = re.compile(r"\[\^[^\[\]\s]{1,40}\](?::[ \t]?)?|\[\^[^\[\]\s]{0,40}\Z")
-_REFERENCE = re.compile(r"^ {0,3}\[[^\[\]\n^]{1,80}\]:[ \t]+\S+[^\n]*", re.MULTILINE)
+_FOOTNOTE = re.compile(r"\[\^[^\[\]\s]+\](?::[ \t]?)?|\[\^[^\[\]\s]*\Z")
+_REFERENCE = re.compile(r"^ {0,3}\[[^\[\]\n^]+\]:[ \t]+\S+[^\n]*", re.MULTILINE)
 _AUTOLINK = re.compile(r"<(?:https?|ftp|mailto):[^<>\s]*>")
 _RULE_ROW = re.compile(r"^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)+\|?[ \t]*\r?$|^[ \t]*\|[ \t]*:?-{3,}:?[ \t]*\|[ \t]*\r?$", re.MULTILINE)
 _BAR_ROW = re.compile(r"^[ \t]*\|(?![-}+|])[^\n]*\|[ \t]*\r?$", re.MULTILINE)
@@ -225,9 +233,10 @@ def _latex(text: str, out: list[Node], literal: list[tuple[int, int]]) -> None:
         literal.append((begun, len(text)))
     covered = Spans([(n.start, n.end) for n in out if n.kind == "latex" and n.end - n.start > 1])
     for m in _BRACED.finditer(text):
-        close = text.find("}", m.end(), m.end() + 400)
+        line_end = text.find("\n", m.end())
+        close = text.find("}", m.end(), line_end if line_end >= 0 else len(text))
         out.append(Node(m.start(), m.end(), "latex", "", 4.0))
-        if close > 0 and "\n" not in text[m.end() : close] and close not in covered:
+        if close > 0 and close not in covered:
             out.append(Node(close, close + 1, "latex", "", 3.0))
     for m in _ESCAPE.finditer(text):
         if m.start() in paths or m.start() in formulas:
@@ -266,7 +275,7 @@ def _wiki(text: str, out: list[Node], literal: list[tuple[int, int]]) -> None:
             name, _, rest = body.partition("|")
             if "{{" in rest or "\n" in rest:
                 add(start, m.end(), "", 4.5, drops=True)
-            elif re.fullmatch(r"\s*[\w .:/?#-]{0,80}", name):
+            elif re.fullmatch(r"\s*[\w .:/?#-]*", name):
                 inline = name.strip().lower() in ("lang", "small", "big", "nowrap", "nobr", "ruby", "仮リンク", "transl")
                 add(start, m.end(), rest.rpartition("|")[2] if inline else "", 4.5, drops=True)
     for start in stack:
@@ -469,6 +478,60 @@ def _constructs(text: str, nodes: list[Node]) -> None:
             n.construct = held[-1][2]
 
 
+def _tree(text: str, whole: list[Node], literal: Spans) -> list[tuple[int, int, float]]:
+    """Give the text runs of an element tree their log-odds; returns their smoothness edges.
+
+    The tree is the stack of open elements: an end tag closes up to its own element, an item, cell or paragraph the
+    one before it. Code keeps its text.
+    """
+    tags = [(k, m) for k, n in enumerate(whole) if n.kind == "html" and n.odds > 0 and (m := _TAG.match(text, n.start)) and m.end() == n.end]
+    if not tags:
+        return []
+    stack: list[tuple[str, int, bool, bool]] = []  # element, its number, boilerplate or content around
+    blocks: dict[int, boilerplate.Block] = {}
+    parents: dict[int, int] = {}
+    homes: dict[int, int] = {}
+    number, at = 0, 0
+    events = iter([*tags, (len(whole), None)])
+    k, m = next(events)
+    while at < len(whole):
+        if at == k:
+            name = m[2].lower()
+            if m[1]:
+                if any(e[0] == name for e in stack):
+                    while stack.pop()[0] != name:
+                        pass
+            elif name not in boilerplate.VOID and not m[3].rstrip().endswith("/"):
+                if name in boilerplate.SELF_CLOSING and stack and stack[-1][0] == name:
+                    stack.pop()
+                number += 1
+                role = boilerplate.role(name, m[3])
+                above = stack[-1] if stack else ("", 0, False, False)
+                parents[number] = next((e[1] for e in reversed(stack) if e[0] in boilerplate.BLOCKS), 0)
+                stack.append((name, number, above[2] or role < 0, above[3] or role > 0))
+            k, m = next(events)
+        elif whole[at].kind is None and text[whole[at].start : whole[at].end].strip() and whole[at].start not in literal:
+            home = next((e for e in reversed(stack) if e[0] in boilerplate.BLOCKS), None)
+            if home is not None:
+                block = blocks.setdefault(home[1], boilerplate.Block(home[2], home[3]))
+                block.add(text[whole[at].start : whole[at].end], any(e[0] == "a" for e in stack))
+                homes[at] = home[1]
+        at += 1
+    odds = {home: boilerplate.log_odds(block) for home, block in blocks.items()}
+    edges: list[tuple[int, int, float]] = []
+    before, under = -1, {}
+    for at, home in homes.items():
+        whole[at].odds = odds[home]
+        if before >= 0 and homes[before] == home:
+            edges.append((before, at, SAME_BLOCK))
+        else:
+            last = under.get(parents[home])
+            if last is not None:
+                edges.append((last, at, SIBLINGS))
+        under[parents[home]] = before = at
+    return edges
+
+
 def label(text: str) -> tuple[list[Node], list[bool]]:
     """The nodes of a text in order and whether the minimum cut makes each residue."""
     nodes: list[Node] = []
@@ -487,11 +550,11 @@ def label(text: str) -> tuple[list[Node], list[bool]]:
     at = 0
     for n in nodes:
         if n.start > at:
-            whole.append(Node(at, n.start, None, "", -3.0))
+            whole.append(Node(at, n.start, None, "", PLAIN))
         whole.append(n)
         at = max(at, n.end)
     if at < len(text):
-        whole.append(Node(at, len(text), None, "", -3.0))
+        whole.append(Node(at, len(text), None, "", PLAIN))
     edges: list[tuple[int, int, float]] = []
     last: dict[str, int] = {}
     under: dict[tuple[int, str], int] = {}
@@ -511,6 +574,8 @@ def label(text: str) -> tuple[list[Node], list[bool]]:
             if j is not None:
                 edges.append((j, k, SAME_CONSTRUCT))
             under[n.construct, n.kind] = k
+    if any(n.kind == "html" for n in whole):
+        edges += _tree(text, whole, Spans(literal))
     return whole, min_cut([n.odds for n in whole], edges)
 
 
@@ -532,6 +597,8 @@ def convert(text: str | None) -> tuple[str | None, list[str]]:
                 continue
         out.append(n.mark if r else text[max(at, n.start) : n.end])
         at = max(at, n.end)
+    if any(r and n.kind is None for n, r in zip(nodes, residue, strict=True)):
+        out = re.sub(r"(?m)^-[ \t]*$", "", "".join(out))  # items whose text went
     clean = re.sub(r"[ \t]+(?=\n)", "", "".join(out).replace("\r\n", "\n"))
     return re.sub(r"\n{3,}", "\n\n", clean).strip(), sorted(kinds)
 

@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from cairn.llm.markup import clean_markup, convert, min_cut
+from cairn.llm import boilerplate
+from cairn.llm.markup import clean_markup, convert, label, min_cut
 
 CASES = [
     ("<p>A <b>bold</b> word&nbsp;here &amp; there</p>", ["html"], "A bold word here & there"),
@@ -74,3 +75,42 @@ def test_frame(spark):
     got = {r["id"]: r for r in out}
     assert got[1]["clean"] == "a" and got[None]["clean"] is None and got[2]["clean"] == "" and got[3]["kinds"] == ["html"]
     assert clean_markup(df.limit(0), ["id"], "body").count() == 0
+
+
+PAGE = (
+    '<html><body><nav><ul><li><a href="/">Home</a></li><li><a href="/s">Subscribe</a></li><li>Log in</li></ul></nav><h1>The mill</h1>'
+    "<p>The mill was rebuilt in 1809 and kept its <a href='w'>wheel</a>.</p><h2>Parts</h2><ul><li>a wheel</li><li>two stones</li></ul><pre>grind(x)</pre>"
+    "<p>Area $x^2$</p><footer><p>All rights reserved.</p><div>Contact</div></footer></body></html>"
+)
+
+
+def test_navigation_and_footer_go():
+    clean = convert(PAGE)[0]
+    assert clean == "# The mill\n\nThe mill was rebuilt in 1809 and kept its wheel.\n\n## Parts\n\n- a wheel\n\n- two stones\n\n```\ngrind(x)\n```\n\nArea $x^2$"
+
+
+def test_the_cut_decides_borderline_text():
+    pages = [
+        '<ul><li><a href="a">Rivers</a></li><li>Opening hours</li><li><a href="b">Products</a></li><li>Login</li><li><a href="c">Subscribe</a></li></ul>',
+        '<div><div><a href="a">Start</a></div><div>Suche</div><div><a href="b">Kontakt</a></div></div>',
+        '<ul><li><a href="a">Accueil</a></li><li>Recherche</li><li><a href="b">Contact</a></li></ul>',
+        "<div><div>The river rises in the hills and flows to the sea.</div><div><a href='x'>The old stone bridge over the river at the mill</a></div><div>It was built by the guild in 1809 and is still in use.</div></div>",
+    ]
+    flipped = borderline = 0
+    for page in pages:
+        for n, residue in zip(*label(page)):
+            if n.kind is None and page[n.start : n.end].strip() and abs(n.odds) < 2.4:
+                borderline += 1
+                flipped += residue != (n.odds > 0)
+    assert borderline >= 4 and flipped > borderline / 2
+    assert convert(pages[0])[0] == "" and "mill" in convert(pages[3])[0]
+
+
+def test_the_fit_separates_its_sample():
+    right = sum((boilerplate.log_odds(boilerplate.Block(bool(a), bool(k), [t], len(t) if link else 0)) > 0) == bool(y) for t, link, a, k, y in boilerplate.SAMPLE)
+    assert right >= 0.95 * len(boilerplate.SAMPLE)
+
+
+def test_long_groups_close():
+    assert convert("{\\bf " + "x" * 450 + "} end")[0] == "x" * 450 + " end"
+    assert convert("[^" + "n" * 90 + "]: more **bold " + "y" * 300)[1] == ["markdown"]
