@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.internal import InternalFunction
 
+from cairn.runtime import cut
 from cairn.sources.tables import table
 
 #: A word counts as heavy in the weight join from this share of all rows on; at most 1 / HEAVY_SHARE words can be.
 HEAVY_SHARE = 0.001
-#: Parts into which the rows of a heavy word are split in that join.
-HEAVY_PARTS = 32
+#: Rows of a heavy word that one part holds in that join.
+PART_ROWS = 200_000
 
 
 def latest(df: DataFrame, keys: Sequence[str], when: str, values: Sequence[str]) -> DataFrame:
@@ -42,21 +43,23 @@ def log_entropy(tf: DataFrame, record: str = "title", term: str = "word", freq:
     Input: one row per (record, term), ``freq`` >= 1. Returns record, term, freq, df, entropy, weight.
     Defined cases: with N <= 1 the global weight is 1; an empty input gives no rows; extra columns are dropped.
     The join of the weights back to the rows splits every heavy term (more than HEAVY_SHARE of all rows; there
-    are at most 1 / HEAVY_SHARE such terms, which bounds the broadcast) into HEAVY_PARTS parts.
+    are at most 1 / HEAVY_SHARE such terms, which bounds the broadcast) into one part per PART_ROWS rows.
+    The rows are written once and read for the statistics and for the join, so the input is read and shuffled once.
     """
-    rows = tf.select(F.col(record).alias("record"), F.col(term).alias("term"), F.col(freq).cast("double").alias("f"), F.col(freq).alias("freq"))
+    rows = cut(tf.select(F.col(record).alias("record"), F.col(term).alias("term"), F.col(freq).alias("freq"))).withColumn("f", F.col("freq").cast("double"))
     per_term = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("f").alias("g"), F.sum(F.col("f") * F.log("f")).alias("s"))
     # titles and rows of the whole table in one row
     size = rows.groupBy("record").agg(F.count(F.lit(1)).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("n_rows"))
-    stats = per_term.crossJoin(F.broadcast(size)).select(
+    stats = cut(per_term).crossJoin(F.broadcast(size)).select(
         "term",
         "df",
         F.greatest(F.lit(0.0), F.log("g") - F.col("s") / F.col("g")).alias("entropy"),
         F.when(F.col("n") > 1, F.log(F.col("n").cast("double"))).alias("top"),
         (F.col("df") > F.greatest(F.lit(100.0), HEAVY_SHARE * F.col("n_rows"))).alias("heavy"),
     )
-    heavy = stats.where("heavy").select("term", F.lit(HEAVY_PARTS).alias("parts"))
-    spread = F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(HEAVY_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    parts = F.ceil(F.col("df") / PART_ROWS).cast("int")
+    heavy = stats.where("heavy").select("term", parts.alias("parts"))
+    spread = F.when(F.col("heavy"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))
     stats = stats.withColumn("part", F.explode(spread))
     rows = rows.join(F.broadcast(heavy), "term", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("record"), F.col("parts")).cast("int"), F.lit(0)))
     weighted = rows.join(stats.drop("heavy"), ["term", "part"])

@@ -17,7 +17,8 @@ def test_log_entropy(spark):
     assert {round(r.weight, 9) for r in one} == {round(math.log(3), 9), round(math.log(6), 9)}
 
 
-def test_heavy_terms_are_split_and_whole(spark):
+def test_heavy_terms_are_split_and_whole(spark, monkeypatch):
+    monkeypatch.setattr(tt, "PART_ROWS", 700)
     df = spark.range(5000).select(F.col("id").cast("string").alias("title"), F.lit("common").alias("word"), F.lit(1).alias("tf"))
     df = df.unionByName(df.withColumn("word", F.concat(F.lit("own"), "title")))
     out = tt.log_entropy(df)
