@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 #: 7-bit groups of a 63-bit number.
 GROUPS = 9
@@ -31,21 +34,35 @@ def encode(numbers: Column | str) -> Column:
     return F.when(F.size(xs) > 0, F.unhex(body))
 
 
-def decode(data: Column | str) -> Column:
-    """The numbers of an encoded list (without the count); null stays null."""
-    data = _col(data)
-    length = F.length(data)
-    byte = lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("bigint")
-    start = F.struct(F.lit(0).cast("bigint").alias("acc"), F.array().cast("array<bigint>").alias("out"))
+def _decode(data: bytes) -> np.ndarray:
+    """All numbers of a byte string, the count included; bytes after the last marked one are no number."""
+    raw = np.frombuffer(data, np.uint8)
+    ends = np.flatnonzero(raw >= 128)
+    if not len(ends):
+        return np.zeros(0, np.int64)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    raw = raw[: ends[-1] + 1].astype(np.int64)
+    place = np.repeat(ends, ends - starts + 1) - np.arange(len(raw))  # groups still to come in the number
+    return np.add.reduceat((raw & 127) << (7 * place), starts)
+
+
+def _listed(kernel):
+    """A pandas UDF that maps each value of a column to a list of integers; null stays null. Linear in the value."""
+
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else kernel(v) for v in values], dtype=object)
+
+    return F.pandas_udf(run, ArrayType(LongType()))
 
-    def step(s: Column, i: Column) -> Column:
-        b = byte(i)
-        value = F.shiftleft(s["acc"], 7) + b.bitwiseAND(127)
-        last = b >= 128
-        return F.struct(F.when(last, F.lit(0).cast("bigint")).otherwise(value).alias("acc"), F.when(last, F.concat(s["out"], F.array(value))).otherwise(s["out"]).alias("out"))
 
-    walked = F.aggregate(F.sequence(F.lit(1), F.greatest(length, F.lit(1))), start, step)["out"]
-    return F.when(length > 0, F.slice(walked, F.lit(2), F.greatest(F.size(walked) - 1, F.lit(0))))
+_numbers = _listed(lambda data: _decode(data)[1:] if len(data) else None)
+_running = _listed(lambda xs: np.cumsum(np.asarray(xs, dtype=np.int64)))
+_both = _listed(lambda data: np.cumsum(_decode(data)[1:]) if len(data) else None)
+
+
+def decode(data: Column | str) -> Column:
+    """The numbers of an encoded list (without the count); null and no bytes give null."""
+    return _numbers(_col(data))
 
 
 def gaps(numbers: Column | str) -> Column:
@@ -55,10 +72,8 @@ def gaps(numbers: Column | str) -> Column:
 
 
 def prefix_sums(numbers: Column | str) -> Column:
-    """The inverse of ``gaps``."""
-    xs = _col(numbers)
-    start = F.array().cast("array<bigint>")
-    return F.aggregate(xs, start, lambda s, x: F.concat(s, F.array(x + F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0).cast("bigint")))))
+    """The inverse of ``gaps``; null stays null."""
+    return _running(_col(numbers).cast("array<bigint>"))
 
 
 def compress(numbers: Column | str) -> Column:
@@ -67,4 +82,5 @@ def compress(numbers: Column | str) -> Column:
 
 
 def decompress(data: Column | str) -> Column:
-    return prefix_sums(decode(data))
+    """The inverse of ``compress``."""
+    return _both(_col(data))

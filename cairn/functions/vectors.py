@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,9 +79,43 @@ def argmin(distances: Sequence[Column]) -> Column:
     return F.array_min(F.array(*[F.struct(d.alias("d"), F.lit(i).alias("i")) for i, d in enumerate(distances)]))["i"]
 
 
+#: Centroid numbers up to which the nearest one is found by an expression of literals.
+LITERALS = 2_048
+
+
+def _nearest_by_matrix(centroids: Sequence[Sequence[float]], cosine: bool) -> Callable[[Column], Column]:
+    c = np.asarray(centroids, dtype=np.float64)
+    size = np.linalg.norm(c, axis=1)
+
+    @F.pandas_udf("int")
+    def run(vectors: pd.Series) -> pd.Series:
+        known = vectors.notna().to_numpy()
+        out = np.full(len(vectors), None, dtype=object)
+        for at in np.array_split(np.flatnonzero(known), max(1, known.sum() // 1024)):
+            x = np.zeros((len(at), c.shape[1]))
+            for row, v in zip(x, vectors.iloc[at], strict=True):
+                row[: len(v)] = [y or 0.0 for y in v[: c.shape[1]]]
+            dots = x @ c.T
+            if cosine:
+                long = np.linalg.norm(x, axis=1)[:, None] * size
+                d = 1 - np.divide(dots, long, out=np.zeros_like(dots), where=long > 0)
+            else:
+                d = (x * x).sum(1)[:, None] - 2 * dots + size * size
+            out[at] = d.argmin(1)
+        return pd.Series(out, dtype="Int32")
+
+    return run
+
+
 def nearest(vector: Column | str, centroids: Sequence[Sequence[float]], distance: Callable[[Column, Column], Column]) -> Column:
-    """Index of the nearest of k centroids: one expression, no join; k is a parameter of the model."""
+    """Index of the nearest of k centroids, ties to the lowest: no join; k is a parameter of the model.
+
+    Up to LITERALS numbers the centroids are literals of one expression, which stays in the JVM; a larger codebook
+    (by Euclid or cosine) goes to the tasks as one matrix.
+    """
     v = _col(vector)
+    if sum(map(len, centroids)) > LITERALS and distance in (squared_euclid, euclid, cosine_distance):
+        return _nearest_by_matrix(centroids, distance is cosine_distance)(v)
     return argmin([distance(v, literal(c)) for c in centroids])
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.seeded import digest, uniform
@@ -90,12 +90,10 @@ def _kernel(k: int, model: str, eta: float, lam: float, total: int) -> Callable[
                 share = 1 / math.sqrt(len(own[a]))
                 implicit = share * sum(items[j][2] for j in own[a])
                 e = r - (mean + u[1] + v[1] + float((u[0] + implicit) @ v[0]))
-                old = v[0]
                 u[0] = u[0] + step * (e * v[0] - lam * u[0])
                 v[0] = v[0] + step * (e * (u[0] + implicit) - lam * v[0])
                 for j in own[a]:
                     items[j][2] = items[j][2] + step * (e * share * v[0] - lam / 2 * items[j][2])
-                del old
             else:
                 base = 0.0 if model == "plain" else mean + u[1] + v[1]
                 e = r - (base + float(u[0] @ v[0]))
@@ -115,9 +113,9 @@ def stochastic_gradient(ratings: DataFrame, k: int, epochs: int, model: str = "b
     """(users, items, mean): (user, f, bias), (item, f, bias, y) and one row ``mean``.
 
     ``model``: plain; fixed (biases of ``fixed_biases``, not learned); bias (mean and biases learned); svdpp (implicit
-    feedback besides). ``blocks=1`` visits the cells in order of user, then item, as a sequential program does.
-    ``blocks=n`` is distributed stratified descent: users and items fall into n groups each, and the n blocks of a
-    stratum share no user or item, so they run in parallel; n strata make an epoch. The implicit set of svdpp is then the
+    feedback besides). ``blocks=1`` visits all cells in one task in order of user, then item, as a sequential program
+    does: a reference order for small tables. ``blocks=n``, which every query uses, is distributed stratified descent:
+    users and items fall into n groups each, and the n blocks of a stratum share no user or item, so they run in parallel; n strata make an epoch. The implicit set of svdpp is then the
     user's items inside the block.
     """
     if model not in MODELS:
@@ -127,6 +125,7 @@ def stochastic_gradient(ratings: DataFrame, k: int, epochs: int, model: str = "b
     group = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     cells = cut(ratings.select(F.col("user").cast("string").alias("a"), F.col("item").cast("string").alias("b"), F.col("rate").cast("double").alias("rate"), F.col("user").cast("double").alias("order")))
     total = max(1, cells.count())
+    ratings = cells.select(F.col("a").cast(user_kind).alias("user"), F.col("b").cast(kind).alias("item"), "rate")  # read from the table written above
     users, items = fixed_biases(ratings) if model != "plain" else (None, None)
     zero = F.lit(0.0)
     state = []
@@ -246,14 +245,45 @@ def cluster_popularity(ratings: DataFrame, users: DataFrame) -> DataFrame:
     return ratings.join(user_clusters(users), "user").groupBy("cluster", "item").agg(F.count(F.lit(1)).alias("n"))
 
 
-def recommend(ratings: DataFrame, users: DataFrame, items: DataFrame, limit: int = 30, exclude_seen: bool = False, mean: DataFrame | None = None) -> DataFrame:
-    """(user, item, rank): for each user the items known in the own cluster by predicted rate, then item descending."""
-    from pyspark.sql import Window
+def recommend(ratings: DataFrame, users: DataFrame, items: DataFrame, limit: int = 30, exclude_seen: bool = False, mean: DataFrame | None = None, block: int = 5_000) -> DataFrame:
+    """(user, item, rank): for each user the items known in the own cluster by predicted rate, then item descending.
 
-    candidates = cluster_popularity(ratings, users).select("cluster", "item")
-    pairs = user_clusters(users).join(candidates, "cluster").select("user", "item")
+    Inside a cluster users and items meet block by block as matrices; per user and item block ``limit`` candidates go on
+    to a merge, so no row is made for a user and an item that isn't a candidate. With ``exclude_seen`` the items a user
+    has rated come along with the user.
+    """
+    ratings = cut(ratings.select("user", "item"))
+    popular = cluster_popularity(ratings, users).select("cluster", "item")
+    if mean is not None:  # biases as two more factors
+        users = users.crossJoin(F.broadcast(mean)).withColumn("f", F.concat("f", F.array(F.col("bias") + F.col("mean"), F.lit(1.0))))
+        items = items.withColumn("f", F.concat("f", F.array(F.lit(1.0), F.col("bias"))))
+    known = cut(popular.join(items.select("item", "f"), "item"))
+    placed = user_clusters(users).join(users.select("user", "f"), "user")
     if exclude_seen:
-        pairs = pairs.join(ratings.select("user", "item").distinct(), ["user", "item"], "left_anti")
-    scored = predict(pairs, users, items, mean)
-    order = Window.partitionBy("user").orderBy(F.round("guess", 9).desc(), F.col("item").desc())
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("user", "item", "rank")
+        placed = placed.join(ratings.groupBy("user").agg(F.collect_set("item").alias("seen")), "user", "left")
+    else:
+        placed = placed.withColumn("seen", F.lit(None).cast(f"array<{items.schema['item'].dataType.simpleString()}>"))
+    placed = cut(placed)
+    pages = known.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("pages")).join(placed.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("sheets")), "cluster")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    share = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    left = placed.join(F.broadcast(pages), "cluster").select("cluster", share("user", "sheets").alias("p"), spread("pages").alias("q"), "user", "f", "seen")
+    right = known.join(F.broadcast(pages), "cluster").select("cluster", spread("sheets").alias("p"), share("item", "pages").alias("q"), "item", "f")
+    kind, user_kind = items.schema["item"].dataType.simpleString(), users.schema["user"].dataType.simpleString()
+
+    def best(u: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        if not len(u) or not len(v):
+            return pd.DataFrame({"user": u["user"][:0], "item": v["item"][:0], "guess": np.zeros(0)})
+        v = v.sort_values("item", ascending=False).reset_index(drop=True)
+        guess = np.round(np.stack(u["f"].to_numpy()) @ np.stack(v["f"].to_numpy()).T, 9)
+        at = {item: j for j, item in enumerate(v["item"])}
+        for row, seen in zip(guess, u["seen"], strict=True):
+            if seen is not None:
+                row[[at[x] for x in seen if x in at]] = -np.inf
+        take = np.argsort(-guess, axis=1, kind="stable")[:, :limit]
+        out = pd.DataFrame({"user": np.repeat(u["user"].to_numpy(), take.shape[1]), "item": v["item"].to_numpy()[take.ravel()], "guess": np.take_along_axis(guess, take, 1).ravel()})
+        return out[out["guess"] > -np.inf]
+
+    found = left.groupBy("cluster", "p", "q").cogroup(right.groupBy("cluster", "p", "q")).applyInPandas(best, f"user {user_kind}, item {kind}, guess double")
+    order = Window.partitionBy("user").orderBy(F.col("guess").desc(), F.col("item").desc())  # limit rows per item block
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("user", "item", "rank")

@@ -13,6 +13,7 @@ from cairn.functions import images as kernels
 from cairn.functions.seeded import digest, uniform
 from cairn.functions.vectors import cosine, literal, nearest, norm, scale, squared_euclid
 from cairn.operators.ranking import global_rank, running_total
+from cairn.runtime import small_side
 
 
 def quantise(descriptors: DataFrame, vec: str, centroids: Sequence[Sequence[float]]) -> DataFrame:
@@ -85,10 +86,10 @@ def hash_histogram(descriptors: DataFrame, image: str, vec: str, tables: list[li
 def match_counts(descriptors: DataFrame, target: DataFrame, image: str, key: str, sign: str, vec: str, ratio: float = 0.6, none: float = 1e6) -> DataFrame:
     """(image, matches, total): how many of the target image's descriptors have an unambiguous nearest one in each image.
 
-    ``target`` holds one image's descriptors and is sent to every task. The two nearest of each (image, target
+    ``target`` holds one image's descriptors and is sent to every task if they are few. The two nearest of each (image, target
     descriptor) are mergeable minima: the nearest, then the nearest but that one.
     """
-    wanted = F.broadcast(target.select(F.col(key).alias("tk"), F.col(sign).alias("ts"), F.col(vec).alias("tv")))
+    wanted = small_side(target.select(F.col(key).alias("tk"), F.col(sign).alias("ts"), F.col(vec).alias("tv")))
     own = descriptors.select(image, F.col(key).alias("__k"), F.col(sign).alias("__s"), F.col(vec).alias("__v"))
     pairs = own.join(wanted, F.col("__s") == F.col("ts")).select(image, "tk", F.struct(F.sqrt(squared_euclid("tv", "__v")).alias("d"), F.col("__k").alias("k")).alias("c"))
     first = F.min("c").alias("a")
@@ -128,13 +129,12 @@ def bernoulli(rows: DataFrame, key: str, rate: float, seed: int = 1) -> DataFram
 def naive_bayes_accuracy(bags: DataFrame, label: str, key: str, word: str, n: str, split: DataFrame, features: int = 1 << 16) -> DataFrame:
     """One row (n_test, accuracy): multinomial naive Bayes on hashed bags of words, trained on the train rows."""
     from pyspark.ml.classification import NaiveBayes
-    from pyspark.ml.feature import StringIndexer
-    from pyspark.ml.linalg import SparseVector, VectorUDT
+    from pyspark.ml.feature import HashingTF, StringIndexer
 
-    slots = bags.groupBy(key, F.pmod(F.xxhash64(word), F.lit(features)).cast("int").alias("slot")).agg(F.sum(n).cast("double").alias("x"))
-    rows = slots.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("slot", "x"))).alias("e"))
-    vector = F.udf(lambda e: SparseVector(features, [p["slot"] for p in e], [p["x"] for p in e]), VectorUDT())
-    data = rows.join(split.where(F.col(label).isNotNull()), key).select(vector("e").alias("features"), label, "split")
+    repeated = F.array_repeat(F.col(word).cast("string"), F.greatest(F.col(n).cast("int"), F.lit(0)))
+    rows = bags.groupBy(key).agg(F.flatten(F.collect_list(repeated)).alias("__words"))
+    data = rows.join(split.where(F.col(label).isNotNull()), key).select("__words", label, "split")
+    data = HashingTF(inputCol="__words", outputCol="features", numFeatures=features).transform(data).drop("__words")
     indexed = StringIndexer(inputCol=label, outputCol="label_index").fit(data).transform(data)
     model = NaiveBayes(featuresCol="features", labelCol="label_index").fit(indexed.where("split = 'train'"))
     tested = model.transform(indexed.where("split = 'test'"))

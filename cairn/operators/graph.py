@@ -40,8 +40,8 @@ def pagerank(edges: DataFrame, iterations: int = 2, damping: float = 0.85, telep
     out. With ``teleport`` every source gets (1 - damping) / N besides and none drops out. ``weighted`` divides by
     link counts instead of distinct targets. Lineage is cut every step, so the plan doesn't grow.
     """
-    share = F.col("n") / F.sum("n").over(_by_src()) if weighted else F.lit(1.0) / F.count(F.lit(1)).over(_by_src())
-    steps = edges.select("src", "dst", (F.lit(damping) * share).alias("share"))
+    given_out = edges.groupBy("src").agg((F.sum("n") if weighted else F.count(F.lit(1))).alias("out"))
+    steps = edges.join(given_out, "src").select("src", "dst", (F.lit(damping) * ((F.col("n") if weighted else F.lit(1.0)) / F.col("out"))).alias("share"))
     if iterations > 1:
         steps = cut(steps)
     sources = edges.select(F.col("src").alias("id")).distinct()
@@ -59,12 +59,6 @@ def pagerank(edges: DataFrame, iterations: int = 2, damping: float = 0.85, telep
     return score
 
 
-def _by_src():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("src")
-
-
 def unit(scores: DataFrame) -> DataFrame:
     """(id, score) scaled to Euclidean length 1; a zero vector stays zero."""
     length = scores.agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("length"))

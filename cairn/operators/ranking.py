@@ -47,3 +47,15 @@ def running_total(df: DataFrame, order: Sequence[str], value: str, name: str = "
     before = F.coalesce(F.sum("s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = F.sum(value).over(Window.partitionBy("__p").orderBy(*order))
     return placed.withColumn("__in", inside).join(F.broadcast(sums.select("__p", before.alias("__before"))), "__p").withColumn(name, F.col("__in") + F.col("__before")).drop("__p", "__in", "__before")
+
+
+def run_groups(df: DataFrame, order: Sequence[str], key: str, name: str = "run") -> DataFrame:
+    """``df`` with the number (from 1) of its run: consecutive rows in ``order`` (a unique key) with one ``key``; nulls are equal.
+
+    A row begins a run unless its key is that of the row one position before, found by a join on positions.
+    """
+    ranked = cut(global_rank(df, order, "__at"))
+    before = ranked.select((F.col("__at") + 1).alias("__at"), F.col(key).alias("__before"), F.lit(1).alias("__held"))
+    begun = F.when(F.col("__held").isNull() | ~F.col(key).eqNullSafe(F.col("__before")), 1).otherwise(0)
+    marked = ranked.join(before, "__at", "left").withColumn("__new", begun).drop("__before", "__held")
+    return running_total(marked, ["__at"], "__new", name).drop("__at", "__new")

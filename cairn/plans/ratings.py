@@ -107,7 +107,7 @@ def movielens_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user", "item").agg(F.max(F.struct("at", "rate")).alias("m")).select("user", "item", "m.rate")
 
 
-def _sgd(model: str, blocks: int = 1):
+def _sgd(model: str, blocks: int = 8):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         cells = _cells(spark, sf_dir)
         u, v, mean = ops.stochastic_gradient(cells, K, 2, model, eta=0.0005, blocks=blocks)

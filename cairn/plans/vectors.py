@@ -209,7 +209,9 @@ _SPARSE = rf"""lw AS (SELECT word AS key, min(vec) AS vec FROM lsh WHERE word IS
   AND len(list_filter(string_split(vec, chr(9)), lambda x, i: i % 2 = 0 AND NOT (regexp_full_match(x, '{_NUM}') AND isfinite(coalesce(try_cast(trim(x) AS DOUBLE), 'inf'::DOUBLE))))) = 0 GROUP BY word),
 lf AS (SELECT key, string_split(vec, chr(9)) AS f FROM lw), le AS (SELECT key, f, unnest(range(1, len(f), 2)) AS i FROM lf),
 sp AS (SELECT key, f[i] AS dim, trim(f[i + 1])::DOUBLE AS x, i FROM le),
-sv AS (SELECT key, dim, x FROM sp WHERE x <> 0 QUALIFY row_number() OVER (PARTITION BY key ORDER BY i) <= 50)"""
+sv AS (SELECT key, dim, x FROM sp WHERE x <> 0)"""
+#: The 100-pivot setting reads 50 entries of a vector.
+_FIRST_50 = "sv AS (SELECT key, dim, x FROM sp WHERE x <> 0 QUALIFY row_number() OVER (PARTITION BY key ORDER BY i) <= 50)"
 _IMG = "img AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e, list_transform(embedding, lambda x: x::DOUBLE + 1) AS h FROM embeddings), one AS (SELECT vec_id AS t_id, e AS te, h AS th FROM img ORDER BY vec_id LIMIT 1)"
 _DOT = "list_inner_product({a}, {b})"
 _COS = "list_inner_product({a}, {b}) / (sqrt(list_inner_product({a}, {a})) * sqrt(list_inner_product({b}, {b})))"
@@ -290,7 +292,7 @@ ORACLES = {
     "lsh_bits": f"{_LSH} SELECT key, bits FROM bits",
     "lsh_candidates": f"{_LSH} SELECT a, b FROM cand",
     "lsh_pairs": f"{_LSH} SELECT a, b, round(cos, 6) AS cos FROM cs WHERE cos > 0.7",
-    "lsh_pairs_100": f"{_lsh_sql(100, 15, 10)} SELECT a, b, round(cos, 6) AS cos FROM cs WHERE cos > 0.7",
+    "lsh_pairs_100": f"{_lsh_sql(100, 15, 10).replace('sv AS (SELECT key, dim, x FROM sp WHERE x <> 0)', _FIRST_50)} SELECT a, b, round(cos, 6) AS cos FROM cs WHERE cos > 0.7",
     "lsh_pairs_all": f"""WITH {_SPARSE}, al AS (SELECT key, dim, x FROM sp WHERE x <> 0 QUALIFY row_number() OVER (PARTITION BY key, dim ORDER BY i DESC) = 1), nrm AS (SELECT key, sqrt(sum(x * x)) AS n FROM al GROUP BY key),
 cs AS (SELECT u.key AS a, w.key AS b, sum(u.x * w.x) / any_value(na.n * nb.n) AS cos FROM al u JOIN al w ON u.dim = w.dim AND u.key < w.key JOIN nrm na ON na.key = u.key JOIN nrm nb ON nb.key = w.key GROUP BY u.key, w.key) SELECT a, b, round(cos, 6) AS cos FROM cs WHERE cos > 0.7""",
     "kmeanspp_seed": f"{_kmeans_sql(0)} SELECT CAST(cluster AS INT) AS cluster, v[1] AS first, v[16] AS last FROM m0",

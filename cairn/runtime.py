@@ -9,6 +9,7 @@ from functools import lru_cache
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(app: str = "cairn", master: str = "local[*]", shuffle_partitions: int = 8) -> SparkSession:
@@ -59,6 +60,11 @@ def _remove(folder: str) -> None:
             return
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application below the shared checkpoint folder."""
+    return _run_folder(checkpoint_dir(spark), spark.sparkContext.applicationId)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to a table in the shared checkpoint folder and go on from its files.
 
@@ -66,7 +72,7 @@ def cut(df: DataFrame) -> DataFrame:
     unlike a checkpoint, whose size estimates multiply from join to join, it lets small sides be broadcast.
     """
     spark = df.sparkSession
-    folder = f"{_run_folder(checkpoint_dir(spark), spark.sparkContext.applicationId)}/{uuid.uuid4().hex}"
+    folder = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
@@ -79,6 +85,11 @@ def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
 
+def small_side(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, which is looked up; otherwise as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that no column of ``df`` has, so working columns never clash with extra input columns."""
     taken = {c.lower() for c in df.columns}

@@ -26,7 +26,7 @@ def articles(spark: SparkSession, path: Paths, name_pattern: str | None = None)
     parts = F.split(F.concat(F.lit("\n"), F.col("value")), r"\n(?=\[\[[^\n]+\]\][ \t]*\r?(?:\n|$))")
     one = reader.text(path, wholetext=True).select(F.explode(parts).alias("a"))
     head = r"(?s)^\n?\[\[([^\n]+)\]\][ \t]*\r?(?:\n(.*))?$"
-    return one.select(F.regexp_extract("a", head, 1).alias("title"), F.trim(F.regexp_extract("a", head, 2)).alias("body")).where("title <> '' AND body <> ''")
+    return one.select(F.regexp_extract("a", head, 1).alias("title"), F.btrim(F.regexp_extract("a", head, 2), F.lit(" \t\r\n")).alias("body")).where("title <> '' AND body <> ''")
 
 
 def pages_xml(spark: SparkSession, path: Paths) -> DataFrame:

@@ -66,3 +66,29 @@ def test_seeded_choices_do_not_depend_on_partitions(spark):
     a = [tuple(r) for r in spark.range(50).repartition(7).select("id", digest("id", 3), uniform("id", 3)).orderBy("id").collect()]
     b = [tuple(r) for r in spark.range(50).coalesce(1).select("id", digest("id", 3), uniform("id", 3)).orderBy("id").collect()]
     assert a == b and all(0 <= x[2] < 1 for x in a)
+
+
+def test_long_lists_decode_in_linear_time(spark):
+    import time
+
+    from cairn.functions import codec
+
+    df = spark.range(1).select(F.sequence(F.lit(1), F.lit(65_536)).cast("array<bigint>").alias("xs")).select("xs", codec.compress("xs").alias("data")).cache()
+    df.count()
+    df.select(codec.decompress("data")).write.format("noop").mode("overwrite").save()
+    began = time.time()
+    back = df.select((codec.decompress("data") == F.col("xs")).alias("same")).first()
+    assert back["same"] and time.time() - began < 5
+
+
+def test_large_codebook_as_matrix(spark):
+    import numpy as np
+
+    from cairn.functions import vectors as fv
+
+    rng = np.random.default_rng(3)
+    c, x = rng.normal(size=(300, 16)), rng.normal(size=(40, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "i int, v array<double>")
+    for distance, want in ((fv.squared_euclid, ((x[:, None] - c[None]) ** 2).sum(2)), (fv.cosine_distance, 1 - x @ c.T / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(c, axis=1))):
+        got = {r["i"]: r["n"] for r in df.select("i", fv.nearest("v", c.tolist(), distance).alias("n")).collect()}
+        assert got.pop(99) is None and got == dict(enumerate(want.argmin(1)))
