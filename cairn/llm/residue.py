@@ -84,7 +84,7 @@ _LITTLE = frozenset(
     "der die das ein eine und ist im von zu mit auf den dem nicht sich als auch es ich wir sie er el los las y por con no se su lo del al che di e i gli per-il non una sono si da ho ai na ya wa ni kwa "
     "cum quod quae ad ab sed sunt ut ex aut nec".split()
 )
-_LATIN_SHAPE = re.compile(r"[a-z]{2,}(?:[aeiou]|u[ms]|is|[aeo]s|[aei]m|[aeiu]t|unt|ur|er)$")
+_LATIN_SHAPE = re.compile(r"[a-z]+(?:[aeiou]|u[ms]|is|[aeo]s|[aei]m|[aeiu]t|unt|ur|er)$")
 
 
 #: Error pages and server messages (fixed values).
@@ -116,10 +116,10 @@ NEUTRAL = r"""
 """
 #: Things of the system that a notice speaks of (fixed values).
 SYSTEM = r"""
-\b[45]\d\d\ (?:not|forbidden|bad|internal|service|gateway|error|gone|too|unauthori[sz]ed)\b|^\W*(?:fatal\ )?(?:error|warning|notice|sqlstate)\b.{0,8}:
-|\b(?:web)?(?:pages?|(?:web)?sites?|servers?|services?|files?|documents?|articles?|images?|resources?|requests?|requested|address(?:es)?|urls?|links?|sessions?|connections?|databases?|tables?|index(?:es)?|caches?|gateways?|networks?|browsers?|accounts?|login|password|system|operation|process|modules?|records?|clients?|quer(?:y|ies)|repl(?:y|ies)|responses?|errors?|exceptions?|code|host|domain|proxy|timeout|cookies?|scripts?|javascript|subscription|notice)\b
-|\b(?:web)?(?:seiten?|server\w*|dienste?s?|dateie?n?|dokumente?|artikel|eintrag|einträge|bild(?:er)?|anfragen?|adressen?|links?|sitzung\w*|verbindung\w*|datenbank|tabelle|index|zwischenspeicher|cache|netzwerk|browser\w*|konto|anmeldung|passwort|system|vorgang\w*|modul|antwort|fehler\w*|inhalte?|abruf|skripte?|zugriff\w*|wartung\w*|hinweis)\b
-|\b(?:pages?|sites?|serveurs?|services?|fichiers?|documents?|articles?|fiche|entrée|images?|ressources?|requêtes?|adresses?|url|liens?|sessions?|connexion|bases?\ de\ données|tables?|index|caches?|réseau|navigateurs?|comptes?|mot\ de\ passe|système|opération|modules?|réponses?|erreurs?|accès|scripts?|cookies|avis|dossier\ [0-9a-f]{4,})\b
+^\W*(?:die\ )?suche\b|\b[45]\d\d\ (?:not|forbidden|bad|internal|service|gateway|error|gone|too|unauthori[sz]ed)\b|^\W*(?:fatal\ )?(?:error|warning|notice|sqlstate)\b.{0,8}:
+|\b(?:web)?(?:pages?|(?:web)?sites?|servers?|services?|files?|documents?|articles?|images?|resources?|requests?|requested|address(?:es)?|urls?|links?|sessions?|connections?|databases?|tables?|index(?:es)?|caches?|gateways?|networks?|browsers?|accounts?|login|password|system|operation|process|modules?|records?|clients?|search|catalog(?:ue)?|archive|directory|registry|quer(?:y|ies)|repl(?:y|ies)|responses?|errors?|exceptions?|code|host|domain|proxy|timeout|cookies?|scripts?|javascript|subscription|notice)\b
+|\b(?:web)?(?:seiten?|server\w*|dienste?s?|dateie?n?|dokumente?|artikel|eintrag|einträge|bild(?:er)?|anfragen?|adressen?|links?|sitzung\w*|verbindung\w*|datenbank|tabelle|index|zwischenspeicher|cache|netzwerk|browser\w*|konto|anmeldung|passwort|system|register|verzeichnis|katalog|archiv|vorgang\w*|modul|antwort|fehler\w*|inhalte?|abruf|skripte?|zugriff\w*|wartung\w*|hinweis)\b
+|\b(?:pages?|sites?|serveurs?|services?|fichiers?|documents?|articles?|fiche|entrée|images?|ressources?|requêtes?|adresses?|url|liens?|sessions?|connexion|bases?\ de\ données|tables?|index|caches?|réseau|navigateurs?|comptes?|mot\ de\ passe|système|opération|recherche|base|registre|catalogue|archives?|modules?|réponses?|erreurs?|accès|scripts?|cookies|avis|dossier\ [0-9a-f]{4,})\b
 |ページ|頁|サイト|サーバ|サービス|ファイル|文書|記事|項目|画像|リンク|アドレス|URL|セッション|接続|データベース|表示|索引|キャッシュ|ネットワーク|ブラウザ|アカウント|ログイン|パスワード|システム|処理|エラー|アクセス|リクエスト|権限|メンテナンス|通信|操作|応答|お知らせ|番号
 """
 #: Speech to the reader: imperatives and second person (fixed values).
@@ -132,7 +132,7 @@ TO_READER = r"""
 #: Frames of a report: someone met, read or showed a message, sign, placeholder or template (fixed values).
 REPORT = r"""
 \b(?:messages?|notices?|signs?|banners?|warnings?|words?|phrases?|placeholders?|templates?|manuals?|screens?|buttons?|labels?|marks?|fields?|readers?|visitors?|users?|printers?|people)\b.{0,30}\b(?:ask(?:s|ed)?|say(?:s|ing)?|said|reads?|show(?:s|ed|n)?|appear(?:s|ed)?|met|saw|see|got|received|stand(?:s|ing)?|stood|mean(?:s|t)|replac(?:es|ed)|fill(?:s|ed)|uses?|used|called|named|prints?|printed|wrote|writes?|contains?|greet(?:s|ed))\b
-|\b(?:met|saw|read|showed|printed|wrote|displayed|got|received|called|means|stands\ for|explains|describes)\b.{0,30}\b(?:messages?|notices?|errors?|placeholders?|templates?|words?|phrases?)\b|\bstands?\ for\b|\berror\ rates?\b
+|\b(?<!not\ )(?:met|saw|read|showed|printed|wrote|displayed|got|received|called|means|stands\ for|explains|describes)\b.{0,30}\b(?:messages?|notices?|errors?|placeholders?|templates?|words?|phrases?)\b|\bstands?\ for\b|\berror\ rates?\b
 |\b(?:meldung|hinweis|schild|vorlage|platzhalter|wort|wörter|besucher|leser|nutzer|handbuch|anzeige|drucker)\b.{0,40}\b(?:steht|stand|bat|baten|zeigt\w*|lautet\w*|sah(?:en)?|las(?:en)?|füllt\w*|erscheint|erschien|heißt|hieß|bedeutet|schrieb\w*|fanden?|begegnet\w*|trafen?)\b|\b(?:steht|stehen|stand)\ für\b|\b(?:sah(?:en)?|las(?:en)?|zeigte|fanden?|trafen?|erklärt|beschreibt)\b.{0,40}\b(?:meldung|hinweis|vorlage|platzhalter)\b
 |\b(?:messages?|avis|panneaux?|modèles?|mot|mots|balise|lecteurs?|visiteurs?|manuel|écran|imprimante|marque)\b.{0,40}\b(?:demand(?:e|ait|a)|dit|disait|indiqu(?:e|ait|a)|affich(?:e|ait|a)|appara[iî](?:t|ssait)|rest(?:e|ait|a)|signifi(?:e|ait)|rempli(?:t|ssait)|virent|lurent|rencontr\w+|remplac\w+|marque|désigne|contient)\b|\bmarque(?:nt)?\ (?:la\ place|l['’]endroit)\b
 |雛形で|という(?:文字|表示|言葉|警告|通知|メッセージ|案内|注意)|と(?:書|記|表示|出|読)[いかさまれて]|表示が(?:出|続|残|現)|を求める(?:表示|案内|掲示)|を意味(?:し|する)|として使われ
@@ -141,7 +141,7 @@ REPORT = r"""
 DATED = r"\b(?:1[0-9]|20)\d\d\b(?!\s*(?:s|sec|ms|min)\b)|\b\d+\ (?:days|weeks|months|years|tage|wochen|monate|jahre|jours|semaines|mois|ans)\b|\d年|\d+(?:日|週|か月|年)間|\b(?:on|by|last|next)\ (?:mon|tues|wednes|thurs|fri|satur|sun)day"
 #: A completed event, told: past forms (fixed values).
 PAST = r"""
-\b(?:was|were|had|became|went|lay|stood|met|kept|asked|called|until|since|ago|during)\b|\bin\ (?:1\d|20)\d\d\b|\bfor\ \d+\ (?:days|weeks|months|years)\b
+\b(?:was|were|had|became|lay|stood|met|kept|asked|called|until|since|ago|during)\b|\bin\ (?:1\d|20)\d\d\b|\bfor\ \d+\ (?:days|weeks|months|years)\b
 |\b(?:war(?:en)?|wurden?|hatten?|blieb(?:en)?|galt(?:en)?|kam(?:en)?|stand(?:en)?|lag(?:en)?|bis|seit|vor|während)\b|\b(?:1\d|20)\d\d\b|\b\d+\ (?:tage|wochen|monate|jahre)\b
 |\b(?:étai(?:t|ent)|fut|furent|avai(?:t|ent)|rest(?:a|èrent)|devint|jusqu['’]|depuis|pendant|durant)\b|\b\d+\ (?:jours|semaines|mois|ans)\b
 |\d年|\d+(?:日|週|か月|年)間|当時|だった|であった|ていた|(?<!し)た。|していた
@@ -276,7 +276,7 @@ def _latin(words: list[str], known: bool) -> bool:
         return True
     if any(w in _LITTLE for w in low) or sum(bool(_LATIN_SHAPE.match(w)) for w in low) < 0.85 * len(low):
         return False
-    return known or len(words) >= 6 and all(w.islower() for w in words[1:]) and sum(len(w) <= 3 for w in words) <= 0.2 * len(words)
+    return known or len(words) >= 6 and all(w.islower() for w in words[1:]) and sum(len(w) <= 3 for w in words) <= 0.35 * len(words)
 
 
 def _reports(s: str, words: list[str]) -> bool:
@@ -287,10 +287,10 @@ def _reports(s: str, words: list[str]) -> bool:
     return bool(_REPORT.search(s)) or bool(_PAST.search(s)) and not _TO_READER.search(s) and (bool(_DATED.search(s)) or not _SYSTEM.search(s))
 
 
-def _speaks(kind: str, s: str, words: list[str], matched: int) -> bool:
-    """Whether a segment with a pattern's match of ``matched`` characters speaks as an error or script notice."""
+def _speaks(kind: str, s: str, words: list[str], found: list[str]) -> bool:
+    """Whether a segment with the matches ``found`` of a pattern speaks as an error or script notice."""
     letters = sum(c.isalnum() for c in s)
-    if matched >= 0.75 * letters:
+    if len(found) > 1 or sum(c.isalnum() for m in found for c in m) >= 0.65 * letters:
         return True
     if _CJK.search(s):
         return len(s) < 12 or bool(_TO_READER.search(s)) or not _END.search(s) and bool(_SYSTEM.search(s))
@@ -300,7 +300,9 @@ def _speaks(kind: str, s: str, words: list[str], matched: int) -> bool:
 
 
 def judge(segment: str, known: bool = False) -> str:
-    """One of template, filler, error, script, prose, neutral, menu, symbols (a run without letters), empty.
+    """One of template, filler, error, script, weak, prose, neutral, menu, symbols (a run without letters), empty.
+
+    A weak segment has a notice's words but doesn't speak as one: it is a notice beside others, prose without them.
 
     ``known``: the whole text holds words that name filler Latin.
     """
@@ -338,8 +340,8 @@ def judge(segment: str, known: bool = False) -> str:
             return "prose"
         if kind == "filler" and len(words) >= 7 and _END.search(s) and 2 * sum(len(m[0]) for m in pattern.finditer(s)) < len(s):
             return "prose"  # a sentence about filler
-        if kind in ("error", "script") and not _speaks(kind, s, words, sum(sum(c.isalnum() for c in m[0]) for m in pattern.finditer(s))):
-            return "prose"
+        if kind in ("error", "script") and not _speaks(kind, s, words, [m[0] for m in pattern.finditer(s)]):
+            return "weak"
         return kind
     if _CJK.search(s):
         return "prose" if len(s) >= 12 and (_END.search(s) or len(s) >= 30) else "neutral"
@@ -353,7 +355,7 @@ def assess(text: str | None) -> tuple[str | None, float]:
     """
     if text is None or not text.strip():
         return None, 0.0
-    size = {"template": 0, "filler": 0, "error": 0, "script": 0, "prose": 0, "symbols": 0}
+    size = {"template": 0, "filler": 0, "error": 0, "script": 0, "prose": 0, "symbols": 0, "weak": 0}
     free: list[int] = []
     body = outside_code(text)
     size["prose"] += len(text) - len(body)
@@ -372,6 +374,7 @@ def assess(text: str | None) -> tuple[str | None, float]:
                 break
     if size["prose"] > hopeless:
         return None, 0.0
+    size["error" if size["error"] or size["script"] else "prose"] += size["weak"]
     size["prose"] += sum(sorted(free)[: max(0, len(free) - FREE_LINES)])
     if size["symbols"] and not size["prose"]:
         size["filler"] += size["symbols"]  # symbols alone fill a text; beside prose they are only ornament
