@@ -9,10 +9,11 @@ reranked on the vectors themselves.
 Sparse vectors over an open vocabulary are rotated by random signs per dimension (each dimension's D signs come from
 its hash), so no vocabulary is ever collected; the spread of that projection is added to the bound.
 
-Candidates never come from all pairs. For a threshold, vectors meet in blocks that provably hold every result:
-dense vectors in cells of rotated coordinates with a margin, sparse ones under the prefix of their rarest dimensions.
-A crowded block is cut into chunks and worked chunk pair by chunk pair. For the k nearest, a stated query set (every
-key whose number is divisible by 20) runs against all rows in blocks.
+Candidates never come from all pairs. Equal vectors are searched once and their keys expanded at the end. For a
+threshold, vectors meet in blocks that provably hold every result: dense vectors in cells of rotated coordinates with
+a margin, sparse ones under the prefix of their rarest dimensions. A crowded cell is cut again by further rotated
+coordinates; what is crowded even then is worked chunk pair by chunk pair. For the k nearest, a stated query set runs
+against all rows in blocks: keys whose number is divisible by 20, for the words of lsh, which have none, their digest.
 """
 
 from __future__ import annotations
@@ -26,14 +27,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.vectors import POINTS_SQL, SPARSE_SQL, kmeanspp_points, lsh_vectors
-from cairn.runtime import cut
+from cairn.runtime import cut, is_empty
 
 BITS = 128
 DENSE_BITS = 64
 EPSILON = 4.0
 SEED = 20
-#: Rows of a block that one task holds; larger blocks are cut.
+#: Rows of a block that are compared at once; larger blocks are cut.
 CHUNK = 2_000
+#: Rows of many blocks that one group holds.
+BUCKET = 20_000
+#: Pairs of rows compared in one step, and rows from which on a task is worked as a matrix.
+PAIRS, MATRIX = 100_000, 48
 #: Cell width as a multiple of the threshold, and rotated coordinates that make a cell.
 WIDTH, AXES = 6.0, 4
 
@@ -82,79 +87,172 @@ def sketch(dims: list, values: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def _chunked(blocks: DataFrame, chunk: int) -> DataFrame:
-    """Rows of blocks of two or more, with ``task``: their block and one of its chunk pairs (c1 <= c2).
+    """Rows of blocks of two or more, with ``task``: their block and one of its chunk pairs (c1 <= c2), and ``bucket``.
 
     A block of at most ``chunk`` rows is one pair (0, 0). A crowded block's rows are copied once per chunk, so that no
-    task holds more than two chunks and every pair of rows meets in exactly one chunk pair. Grouping goes by the
-    task's own name, so the pairs of a crowded block spread over the cluster.
+    task holds more than two chunks and every pair of rows meets in exactly one chunk pair. Buckets gather tasks by
+    their own names, about BUCKET rows each, so the pairs of a crowded block spread over the cluster.
     """
     sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = blocks.join(sizes, "block").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.withColumn("c1", F.least("mine", "other")).withColumn("c2", F.greatest("mine", "other"))
-    return rows.withColumn("task", F.concat_ws("/", "block", "c1", "c2")).drop("block", "n", "chunks", "other")
+    rows = rows.withColumn("c1", F.least("mine", "other")).withColumn("task", F.concat_ws("/", "block", "c1", F.greatest("mine", "other")))
+    rows = rows.withColumn("cross", F.col("mine") != F.col("other")).withColumn("second", F.col("mine") != F.col("c1"))
+    work = sizes.agg(F.sum(F.col("n") * F.ceil(F.col("n") / chunk)).alias("rows")).first()["rows"] or 0
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("task"), F.lit(max(1, -(-work // BUCKET))))).drop("block", "n", "chunks", "other", "mine", "c1")
 
 
-def _pairs_inside(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Row positions of the two sides of a chunk pair, and whether they are the same chunk."""
-    mine = pdf["mine"].to_numpy()
-    c1, c2 = int(pdf["c1"].iloc[0]), int(pdf["c2"].iloc[0])
-    if c1 == c2:
-        every = np.arange(len(pdf))
-        return every, every, True
-    return np.flatnonzero(mine == c1), np.flatnonzero(mine == c2), False
+def _sorted_tasks(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    """The rows by task and side, and where each task starts (and the last ends)."""
+    pdf = pdf.sort_values(["task", "second"], kind="stable").reset_index(drop=True)
+    task = pdf["task"].to_numpy()
+    return pdf, np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1], [True]]))
 
 
-def within_distance(points: DataFrame, radius: float, size: int, chunk: int = CHUNK) -> DataFrame:
+def _row_pairs(pdf: pd.DataFrame, starts: np.ndarray):
+    """Positions (i, j) of all pairs of rows to compare in tasks of less than MATRIX rows, about PAIRS of them at a time.
+
+    Inside a task of one chunk each row meets all that follow it; in a task of two chunks, those of the second chunk.
+    """
+    n, sizes = len(pdf), np.diff(starts)
+    last = np.repeat(starts[1:], sizes)
+    here = np.arange(n)
+    follow = here + 1
+    if pdf["cross"].any():
+        second, cross = pdf["second"].to_numpy(), pdf["cross"].to_numpy()
+        border = np.repeat(starts[1:] - np.add.reduceat(second.astype(np.int64), starts[:-1]), sizes)
+        follow = np.where(cross, np.where(second, last, border), follow)
+    counts = np.where(np.repeat(sizes, sizes) < MATRIX, last - follow, 0)
+    ends = np.cumsum(counts)
+    at = 0
+    while at < n:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+        c = counts[at:stop]
+        total = int(c.sum())
+        if total:
+            i = np.repeat(here[at:stop], c)
+            yield i, np.repeat(follow[at:stop] - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(total)
+        at = stop
+
+
+def _candidates(pdf: pd.DataFrame, starts: np.ndarray, bits: np.ndarray, correction: np.ndarray, queries: np.ndarray, epsilon: float | None, maybe):
+    """Positions (i, j) of the pairs to measure: those ``maybe(i, j, guess, bound)`` keeps, all with ``epsilon`` None.
+
+    ``guess`` is the estimate of code i against query j and ``bound`` its error bound, as in ``estimate``.
+    """
+    width = bits.shape[1]
+    c = np.maximum(correction, 1e-6)
+    bound = (epsilon or 0.0) * np.sqrt(np.maximum(0, 1 - c * c)) / c / np.sqrt(width - 1)
+    total, root = queries.sum(1), np.sqrt(width)
+    for i, j in _row_pairs(pdf, starts):
+        if epsilon is not None:
+            keep = maybe(i, j, (2 * np.einsum("pd,pd->p", bits[i], queries[j]) - total[j]) / root / c[i], bound[i])
+            i, j = i[keep], j[keep]
+        yield i, j
+    cross, second = pdf["cross"].to_numpy(), pdf["second"].to_numpy()
+    for first, last in zip(starts[:-1], starts[1:], strict=True):
+        if last - first < MATRIX:
+            continue
+        rows = np.arange(first, last)
+        a, b = (rows[~second[rows]], rows[second[rows]]) if cross[first] else (rows, rows)
+        for at in range(0, len(b), 512):
+            q = b[at : at + 512]
+            if epsilon is None:
+                keep = np.ones((len(a), len(q)), dtype=bool)
+            else:
+                keep = maybe(a[:, None], q[None, :], (2 * (bits[a] @ queries[q].T) - total[q]) / root / c[a][:, None], bound[a][:, None])
+            i, j = np.nonzero(keep)
+            i, j = a[i], q[j]
+            yield (i, j) if cross[first] else (i[i < j], j[i < j])
+
+
+def _representatives(rows: DataFrame, value: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """(rows with one key per distinct value, members (rep, key) of the values that several keys have, None without any).
+
+    Only rows whose value's hash occurs again are compared by the value itself.
+    """
+    rows = cut(rows.select("key", *value, F.xxhash64(*value).alias("h")))
+    again = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
+    if is_empty(again):
+        return rows.drop("h"), None
+    shared = cut(rows.join(again, "h", "left_semi").drop("h"))
+    reps = cut(shared.groupBy(*value).agg(F.min("key").alias("key")))
+    members = cut(shared.join(reps.withColumnRenamed("key", "rep"), value).select("rep", "key"))
+    single = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("rep")  # equal hashes of unequal values
+    return rows.join(again, "h", "left_anti").drop("h").unionByName(reps), members.join(single, "rep", "left_anti")
+
+
+def _expand(pairs: DataFrame, members: DataFrame | None) -> DataFrame:
+    """Pairs of representatives (a, b) as pairs of all their keys, those of one representative included."""
+    if members is None:
+        return pairs.select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b"))
+    for side in ("a", "b"):
+        own = members.select(F.col("rep").alias(side), F.col("key").alias("k"))
+        pairs = pairs.join(own, side, "left").withColumn(side, F.coalesce("k", side)).drop("k")
+    inside = members.join(members.withColumnRenamed("key", "other"), "rep").where("key < other").select(F.col("key").alias("key_a"), F.col("other").alias("key_b"))
+    return pairs.select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b")).unionByName(inside)
+
+
+def within_distance(points: DataFrame, radius: float, size: int, chunk: int = CHUNK, epsilon: float | None = EPSILON) -> DataFrame:
     """(key_a, key_b), key_a < key_b, of all pairs of ``points`` (key, v) at Euclidean distance <= ``radius``.
 
     Two points within the radius differ by at most it in every rotated coordinate, so with one-sided margins both
-    are in the cell of the greater home coordinates: no pair is lost. Inside a cell, one-bit codes about the cell's
-    mean give distance estimates; pairs that may lie within the radius by the error bound are measured exactly.
-    Empty input gives no rows. Results are exact for every pair of distinct keys, equal vectors included.
+    are in the cell of the greater home coordinates: no pair is lost. Cells take AXES coordinates; a cell of more than
+    ``chunk`` rows is cut by the next AXES, and so on. Inside a cell, one-bit codes about the cell's mean give distance
+    estimates; pairs that may lie within the radius by the error bound are measured exactly. With ``epsilon`` None
+    every pair of a cell is measured, so the result rests on no estimate. Empty input gives no rows.
     """
-    turn, width = rotation(size, size)[:AXES], WIDTH * radius
-
-    def cells(batches):
-        for pdf in batches:
-            x = np.array(pdf["v"].tolist(), dtype=np.float64).reshape(len(pdf), -1)
-            y = x @ turn.T
-            home, upper = np.floor(y / width).astype(np.int64), np.floor((y + radius * (1 + 1e-9) + 1e-12) / width).astype(np.int64)
-            at, cell = [], []
-            for mask in range(1 << turn.shape[0]):
-                pick = np.array([mask >> i & 1 for i in range(turn.shape[0])], dtype=bool)
-                keep = ((upper != home) | ~pick).all(1)
-                if keep.any():
-                    at.append(np.flatnonzero(keep))
-                    cell.append(np.where(pick, upper, home)[keep])
-            if at:
-                at, cell = np.concatenate(at), np.concatenate(cell)
-                yield pd.DataFrame({"block": [",".join(map(str, c)) for c in cell.tolist()], "key": pdf["key"].to_numpy()[at], "v": pdf["v"].to_numpy()[at]})
+    turn, width = rotation(size, size), WIDTH * radius
+    reps, members = _representatives(points.select("key", "v"), ["v"])
+
+    def cells(axes: np.ndarray):
+        def run(batches):
+            for pdf in batches:
+                x = np.array(pdf["v"].tolist(), dtype=np.float64).reshape(len(pdf), -1)
+                y = x @ axes.T
+                home, upper = np.floor(y / width).astype(np.int64), np.floor((y + radius * (1 + 1e-9) + 1e-12) / width).astype(np.int64)
+                at, cell = [], []
+                for mask in range(1 << len(axes)):
+                    pick = np.array([mask >> i & 1 for i in range(len(axes))], dtype=bool)
+                    keep = ((upper != home) | ~pick).all(1)
+                    if keep.any():
+                        at.append(np.flatnonzero(keep))
+                        cell.append(np.where(pick, upper, home)[keep])
+                if at:
+                    at, cell = np.concatenate(at), np.concatenate(cell)
+                    names = [f"{b}{','.join(map(str, c))};" for b, c in zip(pdf["block"].to_numpy()[at], cell.tolist(), strict=True)]
+                    yield pd.DataFrame({"block": names, "key": pdf["key"].to_numpy()[at], "v": pdf["v"].to_numpy()[at]})
+
+        return run
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, starts = _sorted_tasks(pdf)
         keys, x = pdf["key"].to_numpy(), np.array(pdf["v"].tolist(), dtype=np.float64)
-        a, b, same = _pairs_inside(pdf)
+        sizes = np.diff(starts)
+        mean = np.add.reduceat(x, starts[:-1]) / sizes[:, None]
+        centred = (x - np.repeat(mean, sizes, 0)) @ rotation(DENSE_BITS, size).T
+        norm = np.linalg.norm(centred, axis=1)
+        unit = (centred / np.maximum(norm, 1e-300)[:, None]).astype(np.float32)
+        bits, correction = (unit > 0).astype(np.float32), np.abs(unit).sum(1) / np.sqrt(DENSE_BITS)
         found: list[tuple[str, str]] = []
-        if len(a) and len(b) and len(pdf) > 1:
-            centred = (x - x.mean(0)) @ rotation(DENSE_BITS, size).T
-            norm = np.linalg.norm(centred, axis=1)
-            unit = centred / np.maximum(norm, 1e-300)[:, None]
-            codes, correction = encode(unit[a])
-            for start in range(0, len(b), 512):
-                q = b[start : start + 512]
-                guess, bound = estimate(codes, correction, unit[q])
-                scale = np.outer(norm[a], norm[q])
-                least = norm[a][:, None] ** 2 + norm[q][None, :] ** 2 - 2 * scale * (guess + bound)
-                i, j = np.nonzero(least <= radius * radius + 1e-9 + 1e-5 * scale)
-                i, j = a[i], q[j]
-                if same:
-                    i, j = i[i < j], j[i < j]
-                close = np.sqrt(((x[i] - x[j]) ** 2).sum(1)) <= radius
-                found += [(keys[p], keys[r]) if keys[p] < keys[r] else (keys[r], keys[p]) for p, r in zip(i[close], j[close], strict=True)]
-        return pd.DataFrame(found, columns=["key_a", "key_b"])
-
-    blocks = cut(points.mapInPandas(cells, "block string, key string, v array<double>"))
-    return _chunked(blocks, chunk).groupBy("task").applyInPandas(search, "key_a string, key_b string").distinct()
+
+        def maybe(i, j, guess, bound):
+            scale = norm[i] * norm[j]
+            return norm[i] ** 2 + norm[j] ** 2 - 2 * scale * (guess + bound) <= radius * radius + 1e-9 + 1e-5 * scale
+
+        for i, j in _candidates(pdf, starts, bits, correction, unit, epsilon, maybe):
+            close = np.sqrt(((x[i] - x[j]) ** 2).sum(1)) <= radius
+            found += zip(keys[i[close]], keys[j[close]], strict=True)
+        return pd.DataFrame([p if p[0] < p[1] else p[::-1] for p in found], columns=["a", "b"])
+
+    blocks = cut(reps.select(F.lit("").alias("block"), "key", "v").mapInPandas(cells(turn[:AXES]), "block string, key string, v array<double>"))
+    for first in range(AXES, size, AXES):
+        crowded = cut(blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk).select("block"))
+        if is_empty(crowded):
+            break
+        again = blocks.join(crowded, "block").select("block", "key", "v").mapInPandas(cells(turn[first : first + AXES]), "block string, key string, v array<double>")
+        blocks = cut(blocks.join(crowded, "block", "left_anti").unionByName(again))
+    return _expand(_chunked(blocks, chunk).groupBy("bucket").applyInPandas(search, "a string, b string").distinct(), members)
 
 
 def _exact_cosine(a_dims, a_v, b_dims, b_v) -> float:
@@ -163,16 +261,18 @@ def _exact_cosine(a_dims, a_v, b_dims, b_v) -> float:
     return dot / float(np.linalg.norm(a_v) * np.linalg.norm(b_v))
 
 
-def above_cosine(vectors: DataFrame, threshold: float, chunk: int = CHUNK) -> DataFrame:
+def above_cosine(vectors: DataFrame, threshold: float, chunk: int = CHUNK, epsilon: float | None = EPSILON) -> DataFrame:
     """(key_a, key_b), key_a < key_b, of all pairs of ``vectors`` (key, dims, v) with cosine >= ``threshold`` > 0.
 
     Blocks: dimensions are ordered by how many vectors have them; a vector's prefix is its rarest dimensions up to
     where the rest of its unit length falls below the threshold. Two vectors without a common prefix dimension have
     all they share in the rest of one of them, which is too short to reach the threshold: no pair is lost. Inside
     a block one-bit codes choose the pairs, whose cosine is then computed on the sparse vectors. Empty input gives
-    no rows. What the code estimate may lose is bounded by EPSILON (four standard deviations).
+    no rows. What the code estimate may lose is bounded by ``epsilon`` (four standard deviations); with None every
+    pair of a block is reranked, so the result rests on no estimate.
     """
-    vectors = cut(vectors.withColumn("no", F.monotonically_increasing_id()))
+    reps, members = _representatives(vectors.select("key", "dims", "v"), ["dims", "v"])
+    vectors = cut(reps.withColumn("no", F.monotonically_increasing_id()))
     rarity = vectors.select(F.explode("dims").alias("dim")).groupBy("dim").agg(F.count(F.lit(1)).alias("df"))
     entries = vectors.select("no", F.arrays_zip(F.col("dims").alias("dim"), F.col("v").alias("x")).alias("z")).select("no", F.inline("z")).toDF("no", "dim", "x")
     ranked = entries.join(rarity, "dim").groupBy("no").agg(F.array_sort(F.collect_list(F.struct("df", "dim", "x"))).alias("e"))
@@ -195,37 +295,31 @@ def above_cosine(vectors: DataFrame, threshold: float, chunk: int = CHUNK) -> Da
     coded = vectors.select("no", "dims", "v").mapInPandas(codes, "key long, code binary, c float, q binary, s float")
     blocks = cut(coded.join(prefix, coded["key"] == prefix["no"]).select(F.explode("prefix").alias("block"), "key", "code", "c", "q", "s"))
     # spread of the random projection of a pair at the threshold
-    slack = EPSILON * (1 - threshold * threshold) / np.sqrt(BITS)
+    slack = (epsilon or 0.0) * (1 - threshold * threshold) / np.sqrt(BITS)
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, starts = _sorted_tasks(pdf)
         keys = pdf["key"].to_numpy()
-        a, b, same = _pairs_inside(pdf)
-        out_a, out_b = [], []
-        if len(a) and len(b) and len(pdf) > 1:
-            code = np.frombuffer(b"".join(pdf["code"]), np.uint8).reshape(len(pdf), -1)
-            q = np.frombuffer(b"".join(pdf["q"]), np.int8).reshape(len(pdf), -1).astype(np.float32) * pdf["s"].to_numpy()[:, None]
-            correction = pdf["c"].to_numpy()
-            for start in range(0, len(b), 512):
-                some = b[start : start + 512]
-                guess, bound = estimate(code[a], correction[a], q[some])
-                i, j = np.nonzero(guess + bound >= threshold - slack)
-                i, j = keys[a[i]], keys[some[j]]
-                keep = i < j if same else i != j
-                out_a.append(np.minimum(i, j)[keep])
-                out_b.append(np.maximum(i, j)[keep])
-        return pd.DataFrame({"a": np.concatenate(out_a) if out_a else np.zeros(0, np.int64), "b": np.concatenate(out_b) if out_b else np.zeros(0, np.int64)})
-
-    chosen = _chunked(blocks, chunk).groupBy("task").applyInPandas(search, "a long, b long").distinct()
+        bits = np.unpackbits(np.frombuffer(b"".join(pdf["code"]), np.uint8).reshape(len(pdf), -1), axis=1).astype(np.float32)
+        q = np.frombuffer(b"".join(pdf["q"]), np.int8).reshape(len(pdf), -1).astype(np.float32) * pdf["s"].to_numpy()[:, None]
+        correction = pdf["c"].to_numpy()
+        found = [np.zeros((0, 2), np.int64)]
+        for i, j in _candidates(pdf, starts, bits, correction, q, epsilon, lambda i, j, guess, bound: guess + bound >= threshold - slack):
+            found.append(np.sort(np.stack([keys[i], keys[j]], axis=1), axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    chosen = _chunked(blocks, chunk).groupBy("bucket").applyInPandas(search, "a long, b long").distinct()
 
     def rerank(batches):
         for pdf in batches:
             cos = [_exact_cosine(*r) for r in zip(pdf["a_dims"], pdf["a_v"], pdf["b_dims"], pdf["b_v"], strict=True)]
             keep = pdf[np.array(cos, dtype=float) >= threshold]
-            yield pd.DataFrame({"key_a": np.minimum(keep["a_key"], keep["b_key"]), "key_b": np.maximum(keep["a_key"], keep["b_key"])})
+            yield pd.DataFrame({"a": keep["a_key"], "b": keep["b_key"]})
 
     left = vectors.select(F.col("no").alias("a"), F.col("key").alias("a_key"), F.col("dims").alias("a_dims"), F.col("v").alias("a_v"))
     right = vectors.select(F.col("no").alias("b"), F.col("key").alias("b_key"), F.col("dims").alias("b_dims"), F.col("v").alias("b_v"))
-    return chosen.join(left, "a").join(right, "b").drop("a", "b").mapInPandas(rerank, "key_a string, key_b string")
+    return _expand(chosen.join(left, "a").join(right, "b").drop("a", "b").mapInPandas(rerank, "a string, b string"), members)
 
 
 # ---------------------------------------------------------------- k nearest
