@@ -11,7 +11,7 @@
    stand still: inside a group they converge to one value per vector, which sets the groups apart.
 4. k-means on the embedding, seeded at its occupied grid cells, seeds within NEAR of each other merged.
 5. Groups that mix slowly (long chains) aren't still by then: where clusters are left with an affinity between them,
-   the clusters become the nodes of a smaller graph, on which steps 3 and 4 go on, each such cluster also joining
+   the clusters become the nodes of a smaller graph, on which step 3 goes on, and each cluster of a random half joins
    the tied cluster nearest to it in the embedding, until no affinity is cut. Usually there is no such level.
 6. Members are ranked by internal affinity, which follows from the cluster's mean (see ``typical_members``).
 """
@@ -38,9 +38,11 @@ SIGMA = 1.0
 VECTORS = 6
 #: Iterations between tests of convergence, rounds of them on the first level (a further level has one), and the
 #: movement that ends a level.
-STEP, ROUNDS, STILL = 5, 6, 1e-9
+STEP, ROUNDS, STILL = 5, 6, 1e-7
+#: Share of a node's own value that it keeps in a step.
+STAY = 0.25
 #: Grid of the embedding for seeds, and the distance up to which seeds are one.
-FINE, NEAR = 1e-6, 1e-5
+FINE, NEAR = 1e-5, 1e-4
 #: Rows, and anchors, that one task holds; changes the work's layout only, never the result.
 CHUNK = 20_000
 CELL = 4.0
@@ -52,7 +54,7 @@ def _matrix(pdf: pd.DataFrame) -> np.ndarray:
 
 def _axes(count: int) -> int:
     """Rotated coordinates that make a cell: more of them as the table grows, so that cells keep their size."""
-    return min(8, max(1, math.ceil(math.log(max(1, count / 500), 4))))
+    return min(8, max(1, math.ceil(math.log(max(1, count / 3000), 4))))
 
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -169,9 +171,14 @@ def affinities(net: DataFrame, size: int, axes: int, chunk: int = CHUNK) -> Data
 
 
 def transition(edges: DataFrame) -> DataFrame:
-    """(a, b, p): affinities normalised by degree, the rows of the walk summing to 1."""
-    degree = edges.groupBy("a").agg(F.sum("m").alias("d"))
-    return edges.join(degree, "a").select("a", "b", (F.col("m") / F.col("d")).alias("p"))
+    """(a, b, p): affinities to other nodes normalised by degree, with a share STAY of staying: rows sum to 1.
+
+    A node's affinity to itself counts its own points only; walking it would slow the iteration without moving its limit.
+    """
+    others = edges.where("a <> b")
+    degree = others.groupBy("a").agg(F.sum("m").alias("d"))
+    stay = degree.select("a", F.col("a").alias("b"), F.lit(STAY).alias("p"))
+    return others.join(degree, "a").select("a", "b", ((1 - STAY) * F.col("m") / F.col("d")).alias("p")).unionByName(stay)
 
 
 def _hashed(i: int) -> Column:
@@ -182,17 +189,17 @@ def power_embedding(walk: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(a, x ARRAY<DOUBLE>): VECTORS random vectors after power iteration, iterated together until still or ``rounds`` are over."""
     x = walk.select("a").distinct().select("a", F.array(*[_hashed(i) for i in range(VECTORS)]).alias("x"))
     for k in range(rounds):
-        start = x
-        for _ in range(STEP):
-            walked = walk.join(x.withColumnsRenamed({"a": "b"}), "b")
-            x = walked.groupBy("a").agg(F.array(*[F.sum(F.col("p") * F.col("x")[i]) for i in range(VECTORS)]).alias("x"))
-        x = cut(x)
-        if k + 1 == rounds:
-            break
-        moved = F.array_max(F.zip_with(F.col("x"), F.col("y"), lambda p, q: F.abs(p - q)))
-        if not x.join(start.withColumnRenamed("x", "y"), "a").where(moved > STILL).take(1):
+        for step in range(STEP):
+            walked = walk.join(x.select(F.col("a").alias("b"), "x"), "b")
+            found = [F.array(*[F.sum(F.col("p") * F.col("x")[i]) for i in range(VECTORS)]).alias("x")]
+            if step == STEP - 1:  # every node has an entry of its own, which holds what it was a step before
+                found.append(F.max(F.when(F.col("a") == F.col("b"), F.col("x"))).alias("y"))
+            x = walked.groupBy("a").agg(*found)
+        x = cut(x.withColumn("moved", F.array_max(F.zip_with("x", "y", lambda p, q: F.abs(p - q)))).drop("y"))
+        if k + 1 == rounds or not x.where(F.col("moved") > STILL).take(1):
             break
-    return x
+        x = x.drop("moved")
+    return x.select("a", "x")
 
 
 def _distance(p: str, q: str) -> Column:
@@ -225,20 +232,19 @@ def embedding_kmeans(x: DataFrame, lloyd: int = 2) -> DataFrame:
     assigned = points
     for k in range(lloyd):
         nearest = meet(centroids).groupBy("id").agg(F.min_by("other", F.struct("d", "other")).alias("seed"))
-        assigned = cut(points.join(nearest, "id", "left").select("id", "cell", "c", "n", F.coalesce("seed", "id").alias("cluster")))
+        assigned = points.join(nearest, "id", "left").select("id", "cell", "c", "n", F.coalesce("seed", "id").alias("cluster"))
         if k + 1 < lloyd:
             moved = F.array(*[F.sum(F.col("n") * F.col("c")[i]) / F.sum("n") for i in range(VECTORS)])
             centroids = assigned.groupBy("cluster").agg(moved.alias("e")).withColumnRenamed("cluster", "other")
     return named.join(assigned.select("cell", "cluster"), "cell").select("a", "cluster")
 
 
-def _hook(labels: DataFrame, x: DataFrame, edges: DataFrame, level: int) -> DataFrame:
-    """Each cluster of a random half joins the tied cluster of the other half nearest in the embedding: (a, cluster)."""
+def hooked(x: DataFrame, edges: DataFrame, level: int) -> DataFrame:
+    """(a, cluster): each node of a random half joins the tied node of the other half nearest in the embedding."""
     side = lambda c: F.pmod(F.xxhash64(c, F.lit(level)), F.lit(2)) == 0
-    ends = edges.where("a <> b").join(labels.join(x, "a"), "a").withColumnsRenamed({"cluster": "ca", "x": "xa"})
-    ends = ends.join(labels.join(x, "a").withColumnsRenamed({"a": "b", "cluster": "cb", "x": "xb"}), "b").where("ca <> cb")
-    to = ends.where(side("ca") & ~side("cb")).groupBy("ca").agg(F.min_by("cb", F.struct(_distance("xa", "xb"), F.col("cb"))).alias("cb"))
-    return labels.join(to.withColumnRenamed("ca", "cluster"), "cluster", "left").select("a", F.coalesce("cb", "cluster").alias("cluster"))
+    ends = edges.where(side("a") & ~side("b")).join(x.withColumnRenamed("x", "xa"), "a").join(x.select(F.col("a").alias("b"), F.col("x").alias("xb")), "b")
+    to = ends.groupBy("a").agg(F.min_by("b", F.struct(_distance("xa", "xb"), F.col("b"))).alias("to"))
+    return x.select("a").join(to, "a", "left").select("a", F.coalesce("to", "a").alias("cluster"))
 
 
 def spectral_labels(edges: DataFrame) -> DataFrame:
@@ -247,8 +253,7 @@ def spectral_labels(edges: DataFrame) -> DataFrame:
     labels, level = None, 0
     while not is_empty(edges):
         x = power_embedding(cut(transition(edges)), 1 if level else ROUNDS)
-        found = embedding_kmeans(x)
-        found = cut(_hook(found, x, edges, level) if level else found)
+        found = cut(hooked(x, edges, level) if level else embedding_kmeans(x))
         if labels is None:
             labels = found
         else:
