@@ -118,8 +118,62 @@ def _sgd(model: str, blocks: int = 8):
     return run
 
 
+#: Steps of the sequential descent on the nation table.
+NATION_ETA, NATION_LAM, NATION_K, NATION_EPOCHS = 0.02, 0.05, 2, 3
+
+
+def _nation_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table small enough for one task: regions as users, nations modulo 7 as items, the mean length of names as rate."""
+    n = table(spark, sf_dir, "nation", F.col("n_regionkey").cast("bigint").alias("user"), (F.col("n_nationkey") % 7).cast("bigint").alias("item"), F.length("n_name").alias("letters"))
+    return n.groupBy("user", "item").agg(F.avg("letters").alias("rate"))
+
+
+def _sgd_nations(model: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        cells = _nation_cells(spark, sf_dir)
+        u, v, mean = ops.stochastic_gradient(cells, NATION_K, NATION_EPOCHS, model, NATION_ETA, NATION_LAM, blocks=1)
+        guessed = ops.predict(cells, u, v, None if model == "plain" else mean, cells if model == "svdpp" else None)
+        return guessed.select("user", "item", F.round("guess", 6).alias("guess"))
+
+    run.__doc__ = f"Predictions after {NATION_EPOCHS} epochs in sequential order on the nation table ({model})."
+    return run
+
+
+def _sgd_nations_sql(model: str) -> str:
+    """The same steps as a recursion with one row of state: lists of factors by user and item, biases, implicit factors, mean."""
+    k = range(NATION_K)
+
+    def start(key: str, extra: str = "") -> str:
+        return "[" + ", ".join(uniform_sql(f'"{key}"', f"1-{extra or key}{i}") for i in k) + "]"
+
+    biased = model in ("bias", "svdpp")
+    base = "0" if model == "plain" else "mean + bu[a] + bi[b]"
+    imp = "list_transform(range(%d), lambda i: list_sum(list_transform(own, lambda j: y[j][i + 1])) / sqrt(len(own)))" % NATION_K if model == "svdpp" else f"[{', '.join('0.0' for _ in k)}]"
+    put = lambda items, at, new: f"list_transform({items}, lambda x, i: CASE WHEN i = {at} THEN {new} ELSE x END)"
+    plus = lambda p, q: f"list_transform(list_zip({p}, {q}), lambda z: z[1] + z[2])"
+    ybar = "list_transform(y, lambda w, j: CASE WHEN list_contains(own, j) THEN list_transform(w, lambda z, i: z + step * (e / sqrt(len(own)) * v1[i] - %s / 2 * z)) ELSE w END)" % NATION_LAM if model == "svdpp" else "y"
+    return f"""WITH RECURSIVE c AS (SELECT CAST(n_regionkey AS BIGINT) AS "user", CAST(n_nationkey % 7 AS BIGINT) AS item, avg(length(n_name)) AS rate FROM nation GROUP BY ALL),
+{_biases("c", "f")},
+o AS (SELECT CAST(row_number() OVER (ORDER BY "user", item) - 1 AS BIGINT) AS n, CAST("user" + 1 AS BIGINT) AS a, CAST(item + 1 AS BIGINT) AS b, rate, list(CAST(item + 1 AS BIGINT)) OVER (PARTITION BY "user") AS own FROM c),
+total AS (SELECT count(*) AS total FROM c),
+st AS (SELECT CAST(0 AS BIGINT) AS t, (SELECT list({start("user")} ORDER BY "user") FROM (SELECT unnest(range(5)) AS "user")) AS u, (SELECT list({start("item")} ORDER BY item) FROM (SELECT unnest(range(7)) AS item)) AS v,
+  (SELECT list({start("item", "y")} ORDER BY item) FROM (SELECT unnest(range(7)) AS item)) AS y,
+  {'(SELECT list(ub ORDER BY "user") FROM ubf)' if model == "fixed" else "list_transform(range(5), lambda i: 0.0::DOUBLE)"} AS bu, {'(SELECT list(ib ORDER BY item) FROM ibf)' if model == "fixed" else "list_transform(range(7), lambda i: 0.0::DOUBLE)"} AS bi,
+  (SELECT mean FROM mf) AS mean
+ UNION ALL
+ SELECT t + 1, {put("u", "a", "u1")}, {put("v", "b", "v1")}, {ybar}, {put("bu", "a", f"x + step * (e - {NATION_LAM} * x)") if biased else "bu"}, {put("bi", "b", f"x + step * (e - {NATION_LAM} * x)") if biased else "bi"}, {"mean + step * e" if biased else "mean"}
+ FROM (SELECT *, list_transform(v0, lambda x, i: x + step * (e * {plus("u1", "imp")}[i] - {NATION_LAM} * x)) AS v1
+  FROM (SELECT *, list_transform(u0, lambda x, i: x + step * (e * v0[i] - {NATION_LAM} * x)) AS u1
+   FROM (SELECT *, rate - ({base} + list_inner_product({plus("u0", "imp")}, v0)) AS e
+    FROM (SELECT st.*, o.a, o.b, o.rate, o.own, {NATION_ETA}::DOUBLE / (1 + t / total::DOUBLE) AS step, u[a] AS u0, v[b] AS v0, {imp} AS imp
+     FROM st CROSS JOIN total JOIN o ON o.n = t % total WHERE t < {NATION_EPOCHS} * total)))))
+SELECT c."user", c.item, round({base} + list_inner_product({plus("u[a]", imp)}, v[b]), 6) AS guess
+FROM (SELECT * FROM st ORDER BY t DESC LIMIT 1) CROSS JOIN o JOIN c ON c."user" + 1 = o.a AND c.item + 1 = o.b"""
+
+
 QUERIES = {f.__name__: f for f in (rating_matrix, matrix_size, global_mean, fixed_bias, item_bias, mf_gd, predict, rmse, folds, cv_rmse, top_n_rate, user_cluster, cluster_popularity, recommend, recommend_new, movielens_normalise)}
 QUERIES |= {"mf_sgd": _sgd("plain"), "mf_sgd_fixed_bias": _sgd("fixed"), "mf_sgd_bias": _sgd("bias"), "mf_sgd_bias_blocks": _sgd("bias", 4), "svdpp": _sgd("svdpp")}
+QUERIES |= {f"sgd_nations_{model}": _sgd_nations(model) for model in ops.MODELS}
 
 _CELLS = "c AS (SELECT o_custkey AS \"user\", p_brand AS item, round(avg(l_quantity), 6) AS rate FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL)"
 
@@ -174,3 +228,4 @@ SELECT fold, round(rmse, 6) AS rmse FROM r UNION ALL SELECT 0, round(avg(rmse),
     "recommend_new": f"{_GD} {_RECOMMEND.format(skip='ANTI JOIN c USING ("user", item)')}",
     "movielens_normalise": 'SELECT o_custkey AS "user", l_partkey AS item, CAST(arg_max(l_quantity, (l_orderkey, l_linenumber, l_quantity)) AS INT) AS rate FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL',
 }
+ORACLES |= {f"sgd_nations_{model}": _sgd_nations_sql(model) for model in ops.MODELS}

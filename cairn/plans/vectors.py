@@ -157,16 +157,30 @@ def kmeans_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.kmeans_sparse(entries, K, cosine=False, init="random", empty="zero")[0]
 
 
-def cop_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Constrained k-means of the embeddings: neighbours by id with equal labels must, with adjoining labels cannot share a cluster."""
+def _cop(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(points, constraints): neighbours by id with equal labels must, with adjoining labels cannot share a cluster."""
     images = _images(spark, sf_dir)
     after = images.select((F.col("vec_id") - 1).alias("vec_id"), F.col("label").alias("next"))
     pairs = images.join(after, "vec_id").where(F.abs(F.col("label") - F.col("next")) <= 1)
     kind = F.when(F.col("label") == F.col("next"), "m").otherwise("c").alias("kind")
     name = lambda c: F.lpad(c.cast("string"), 12, "0")
     constraints = mirrored(pairs.select(name(F.col("vec_id")).alias("a"), name(F.col("vec_id") + 1).alias("b"), kind))
-    points = images.select(name(F.col("vec_id")).alias("key"), F.col("e").alias("v"))
-    return cluster.cop_kmeans(points, constraints, 10).select(F.col("key").cast("bigint").alias("vec_id"), "cluster")
+    return images.select(name(F.col("vec_id")).alias("key"), F.col("e").alias("v")), constraints
+
+
+def cop_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Constrained k-means of the embeddings."""
+    return cluster.cop_kmeans(*_cop(spark, sf_dir), 10).select(F.col("key").cast("bigint").alias("vec_id"), "cluster")
+
+
+def cop_kmeans_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What constrained k-means must satisfy: points with a cluster, constraints of each kind and how many are violated."""
+    points, constraints = _cop(spark, sf_dir)
+    labels = cut(cluster.cop_kmeans(points, constraints, 10).select("key", "cluster"))
+    ends = constraints.join(labels.withColumnsRenamed({"key": "a", "cluster": "ca"}), "a").join(labels.withColumnsRenamed({"key": "b", "cluster": "cb"}), "b")
+    broken = F.when((F.col("kind") == "m") != (F.col("ca") == F.col("cb")), 1).otherwise(0)
+    found = ends.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(broken).alias("violated"))
+    return found.unionByName(labels.where("cluster BETWEEN 0 AND 9").agg(F.lit("points").alias("kind"), F.count(F.lit(1)).alias("n"), F.lit(0).cast("bigint").alias("violated")))
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +212,7 @@ def roulette(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (vec_norm, measures, histogram_measures, vec_add_scale, euclid_top10, cosine_top10, sparse_measures, lsh_bits, lsh_candidates, lsh_pairs, lsh_pairs_100, lsh_pairs_all, kmeanspp_seed, kmeans_assign, kmeans_update, kmeans_dense, kmeans_converged, kmeans_cosine, kmeans_sparse, cop_kmeans, nmf_w, nmf_h, nmf_error, roulette)
+    for f in (vec_norm, measures, histogram_measures, vec_add_scale, euclid_top10, cosine_top10, sparse_measures, lsh_bits, lsh_candidates, lsh_pairs, lsh_pairs_100, lsh_pairs_all, kmeanspp_seed, kmeans_assign, kmeans_update, kmeans_dense, kmeans_converged, kmeans_cosine, kmeans_sparse, cop_kmeans, cop_kmeans_check, nmf_w, nmf_h, nmf_error, roulette)
 }
 
 _NUM = NUMBER.replace("'", "''").removeprefix("^").removesuffix("$")
@@ -250,6 +264,32 @@ def _kmeans_sql(steps: int) -> str:
     return "WITH " + ",\n".join(parts)
 
 
+def _kmeans_sparse_sql(cosine: bool, smart: bool, keep: bool, steps: int = 10) -> str:
+    """Sparse k-means: seeds, then ``steps`` rounds; a round that changes nothing is followed by the same again."""
+    parts = [_SPARSE, "sz AS MATERIALIZED (SELECT key, sum(x * x) AS a2 FROM sv GROUP BY key)"]
+
+    def nearest(name: str, centroids: str, k: int) -> None:
+        d = "1 - coalesce(dot / nullif(sqrt(a2 * coalesce(c2, 0)), 0), 0)" if cosine else "a2 + coalesce(c2, 0) - 2 * coalesce(dot, 0)"
+        parts.append(f"""{name} AS MATERIALIZED (SELECT z.key, min(round({d}, 9)) AS w, arg_min(k.cluster, (round({d}, 9), k.cluster)) AS cluster FROM sz z CROSS JOIN (SELECT unnest(range({k})) AS cluster) k
+LEFT JOIN (SELECT sv.key, c.cluster, sum(sv.x * c.x) AS dot FROM sv JOIN {centroids} c USING (dim) GROUP BY ALL) s ON s.key = z.key AND s.cluster = k.cluster
+LEFT JOIN (SELECT cluster, sum(x * x) AS c2 FROM {centroids} GROUP BY cluster) l ON l.cluster = k.cluster GROUP BY z.key)""")
+
+    if smart:
+        parts.append("k0 AS MATERIALIZED (SELECT 0 AS cluster, key FROM sz ORDER BY md5(key || ':1'), key LIMIT 1)")
+        for j in range(1, K):
+            parts.append(f"e{j} AS MATERIALIZED (SELECT cluster, dim, x FROM sv JOIN k{j - 1} USING (key))")
+            nearest(f"near{j}", f"e{j}", j)
+            parts.append(f"k{j} AS MATERIALIZED (SELECT * FROM k{j - 1} UNION ALL (SELECT {j}, key FROM near{j} WHERE w > 0 ORDER BY -ln(greatest({uniform_sql('key', f'1-{j}')}, 1e-300)) / w, key LIMIT 1))")
+    else:
+        parts.append(f"k{K - 1} AS MATERIALIZED (SELECT row_number() OVER (ORDER BY md5(key || ':1'), key) - 1 AS cluster, key FROM sz QUALIFY cluster < {K})")
+    parts.append(f"m0 AS MATERIALIZED (SELECT cluster, dim, x FROM sv JOIN k{K - 1} USING (key))")
+    for s in range(1, steps + 1):
+        nearest(f"as{s}", f"m{s - 1}", K)
+        kept = f" UNION ALL SELECT * FROM m{s - 1} WHERE cluster NOT IN (SELECT cluster FROM as{s})" if keep else ""
+        parts.append(f"m{s} AS MATERIALIZED (SELECT cluster, dim, sum(x) / any_value(n) AS x FROM sv JOIN as{s} USING (key) JOIN (SELECT cluster, count(*) AS n FROM as{s} GROUP BY cluster) USING (cluster) GROUP BY cluster, dim{kept})")
+    return "WITH " + ",\n".join(parts) + f" SELECT key, cluster FROM as{steps}"
+
+
 def _nmf_sql(steps: int) -> str:
     k = range(3)
     u = lambda key, i, side: uniform_sql(key, f"1-{side}{i}")
@@ -286,6 +326,11 @@ ORACLES = {
     "measures": f"WITH {_IMG} SELECT vec_id, round({_COS.format(a='e', b='te')}, 6) AS cos, round(1 - {_COS.format(a='e', b='te')}, 6) AS cos_distance, round(sqrt(list_sum(list_transform(list_zip(e, te), lambda p: (p[1] - p[2]) ** 2))), 6) AS euclid, round(list_sum(list_transform(list_zip(e, te), lambda p: (p[1] - p[2]) ** 2)), 6) AS sq_euclid, round({_DOT.format(a='e', b='te')}, 6) AS dot FROM img CROSS JOIN one",
     "histogram_measures": f"WITH {_IMG} SELECT vec_id, round({_BHATT}, 5) AS bhattacharyya, round(list_sum(list_transform(list_zip(h, th), lambda p: least(p[1], p[2]))), 6) AS shared, round(0.3 * (1 - {_BHATT}) + 1.5 * {_COS.format(a='h', b='th')}, 5) AS combined FROM img CROSS JOIN one",
     "vec_add_scale": f"WITH {_IMG} SELECT vec_id, round(sqrt(list_sum(list_transform(list_zip(e, te), lambda p: ((p[1] + p[2]) * 0.5) ** 2))), 6) AS norm FROM img CROSS JOIN one",
+    "kmeans_converged": _kmeans_sql(99).replace(" AS (SELECT", " AS MATERIALIZED (SELECT") + " SELECT cluster, count(*) AS n FROM as100 GROUP BY cluster",
+    "cop_kmeans_check": """WITH p AS (SELECT CASE WHEN a.label = b.label THEN 'm' ELSE 'c' END AS kind FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 AND abs(a.label - b.label) <= 1)
+SELECT kind, 2 * count(*) AS n, 0::BIGINT AS violated FROM p GROUP BY kind UNION ALL SELECT 'points', count(*), 0 FROM embeddings""",
+    "kmeans_cosine": _kmeans_sparse_sql(True, True, True),
+    "kmeans_sparse": _kmeans_sparse_sql(False, False, False),
     "euclid_top10": f"WITH {_IMG} SELECT vec_id, round(sqrt(list_sum(list_transform(list_zip(e, te), lambda p: (p[1] - p[2]) ** 2))), 6) AS score FROM img CROSS JOIN one WHERE vec_id <> t_id ORDER BY score, vec_id LIMIT 10",
     "cosine_top10": f"WITH {_IMG} SELECT vec_id, round({_COS.format(a='e', b='te')}, 6) AS score FROM img CROSS JOIN one WHERE vec_id <> t_id ORDER BY score DESC, vec_id LIMIT 10",
     "sparse_measures": f"WITH {_SPARSE}, o AS (SELECT dim, x AS t FROM sv WHERE key = (SELECT min(key) FROM sv)), b AS (SELECT sum(t * t) AS b2 FROM o) SELECT key, round(coalesce(sum(x * t), 0), 6) AS dot, round(greatest(0, sum(x * x) + any_value(b2) - 2 * coalesce(sum(x * t), 0)), 5) AS sq_euclid, round(coalesce(sum(x * t), 0) / (sqrt(sum(x * x)) * sqrt(any_value(b2))), 6) AS cos FROM sv LEFT JOIN o USING (dim) CROSS JOIN b GROUP BY key",
