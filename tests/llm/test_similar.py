@@ -57,6 +57,24 @@ def test_k_nearest_recall(spark, cloud):
     assert len(out) == 67 * 5 and hits >= 0.9 * len(out)
 
 
+@pytest.mark.parametrize(("cells", "part"), [(24, 20_000), (7, 30), (1000, 20_000)])
+def test_k_nearest_in_cells_is_whole(spark, cloud, cells, part):
+    df = _frame(spark, cloud)
+    out = similar.k_nearest_in_cells(df, df.where("key like '%0'"), 5, 16, cells=cells, sample=200, part=part).collect()
+    d = np.sqrt(((cloud[:, None] - cloud[None]) ** 2).sum(2))
+    got = {}
+    for r in sorted(out, key=lambda r: r["rank"]):
+        got.setdefault(r.key, []).append((r.neighbour, round(-r.similarity, 9)))
+    assert len(got) == 67
+    for key, found in got.items():
+        i = int(key[1:])
+        order = [j for j in np.lexsort((np.arange(len(cloud)), np.round(d[i], 12))) if j != i][:5]
+        assert [x for _, x in found] == [round(float(d[i, j]), 9) for j in order]
+        assert {n for n, _ in found} == {f"k{j:05d}" for j in order}
+    few = similar.k_nearest_in_cells(df.limit(3), df.limit(1), 5, 16).collect()
+    assert len(few) == 2 and similar.k_nearest_in_cells(df.limit(0), df, 5, 16).count() == 0
+
+
 def test_empty(spark):
     none = _frame(spark, np.zeros((0, 16)))
     assert similar.within_distance(none, 0.02, 16).count() == 0
