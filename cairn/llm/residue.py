@@ -163,6 +163,8 @@ _SPLIT = re.compile(r"\r\n|[\n\r  \x0b\x0c\x85]|(?<=[.!?…])\s+(?=[^\s])|(?
 _WORD = re.compile(r"[^\W\d_]+")
 #: Letters whose case the patterns fold otherwise than ``lower`` does; a segment with one of them meets every pattern.
 _FOLDS = re.compile("[\u017f\u212a\u0130\u0131]")
+#: Characters of which every placeholder has one.
+_DELIMITER = re.compile(r"[{$%\[【_@~|<«#]")
 _NAMED = re.compile(r"\b(?:lorem|ipsum)\b", re.IGNORECASE)
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _END = re.compile(r"[.!?。！？…][\"”“»」)）]*\s*$")
@@ -252,7 +254,9 @@ def outside_code(text: str) -> str:
 
 def placeholders(segment: str) -> list[str]:
     """The delimiter kinds of the placeholders in ``segment``, one entry per placeholder."""
-    found = []
+    found: list[str] = []
+    if not _DELIMITER.search(segment):
+        return found
     for kind, pattern in _PLACEHOLDERS.items():
         if kind == "single" and found and "{{" in segment:
             continue
@@ -279,6 +283,12 @@ def _latin(words: list[str], known: bool) -> bool:
     return known or len(words) >= 6 and all(w.islower() for w in words[1:]) and sum(len(w) <= 3 for w in words) <= 0.35 * len(words)
 
 
+def _may_run(s: str) -> bool:
+    """Whether half of a segment can be one run: then a token is half of it, or words recur at least three times."""
+    tokens = s.lower().split()
+    return 2 * max(map(len, tokens)) >= len(s) or len(tokens) - len(set(tokens)) >= 3
+
+
 def _reports(s: str, words: list[str]) -> bool:
     """Whether a sentence tells of such things rather than being one."""
     whole = bool(_END.search(s)) or len(words) > 7
@@ -331,7 +341,7 @@ def judge(segment: str, known: bool = False) -> str:
         for _, bits in automaton.iter(s.lower()):
             mask |= bits
     for bit, (kind, pattern) in enumerate((("template", _INSTRUCTIONS), ("script", _SCRIPTS), ("error", _ERRORS), ("filler", _FILLER), ("filler", _RUNS))):
-        found = pattern.search(s) if bit == 4 or mask >> bit & 1 else None
+        found = pattern.search(s) if (_may_run(s) if bit == 4 else mask >> bit & 1) else None
         if not found or bit == 4 and len(found[0]) < 0.5 * len(s):
             continue  # no match, or an ornament beside text
         if not pattern.search(QUOTED.sub(" ", s)):
