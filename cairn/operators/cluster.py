@@ -76,8 +76,9 @@ def update(assigned: DataFrame, centroids: Sequence[Sequence[float]], empty: str
 
 
 def kmeans(points: DataFrame, k: int, iterations: int = 100, init: str = "smart", distance: Distance = squared_euclid, empty: str = "keep", seed: int = 1) -> tuple[DataFrame, list[list[float]]]:
-    """Lloyd iterations until no assignment changes: ((key, v, cluster), centroids)."""
+    """Lloyd iterations until no assignment changes: ((key, v, cluster), centroids). More clusters than rows raise ValueError, no rows give none."""
     points = cut(points.select("key", "v"))  # read once, walked many times
+    check_k(k, points.count() or None)
     centroids = seed_centroids(points, k, seed, distance) if init == "smart" else random_centroids(points, k, seed)
     if not centroids:
         return points.select("key", "v", F.lit(0).alias("cluster")).limit(0), []
@@ -114,6 +115,7 @@ def kmeans_sparse(entries: DataFrame, k: int, iterations: int = 10, cosine: bool
     check_k(k)
     entries = cut(entries.where("y <> 0").select("key", "dim", "y"))
     sizes = cut(entries.groupBy("key").agg(F.sum(F.col("y") * F.col("y")).alias("a2")))
+    check_k(k, sizes.count() or None)
     order = F.struct(digest("key", seed), F.col("key"))
 
     def rows_of(keys: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from functools import lru_cache
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NullType
 
 
 def session(app: str = "cairn", master: str = "local[*]", shuffle_partitions: int = 8) -> SparkSession:
@@ -69,12 +70,18 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to a table in the shared checkpoint folder and go on from its files.
 
     That survives the loss of executors, ends the lineage, and gives the planner the true size of what follows:
-    unlike a checkpoint, whose size estimates multiply from join to join, it lets small sides be broadcast.
+    unlike a checkpoint, whose size estimates multiply from join to join, it lets small sides be broadcast. Columns are
+    numbered in the files, so names that clash or that a file format refuses don't matter; a column without a type is
+    null again.
     """
-    spark = df.sparkSession
+    spark, names = df.sparkSession, df.columns
     folder = f"{run_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    void = [f.name for f in plain.schema if isinstance(f.dataType, NullType)]
+    stored = plain.withColumns({c: F.lit(None).cast("int") for c in void}) if void else plain
+    stored.write.parquet(folder)
+    back = spark.read.schema(stored.schema).parquet(folder)
+    return (back.withColumns({c: F.lit(None) for c in void}) if void else back).toDF(*names)
 
 
 def shuffle_width(spark: SparkSession) -> int:
