@@ -1,4 +1,5 @@
-"""Short texts in four languages, written without the tables at hand: REAL must be kept, RESIDUE excluded. One text a line, ¶ a line break."""
+"""Short texts in four languages, made by hand and not taken from the tables, though samples of the tables had been read before: REAL must be kept,
+RESIDUE excluded. One text a line, ¶ a line break."""
 
 REAL_EN = """
 The bridge was closed for maintenance on Monday.

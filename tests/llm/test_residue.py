@@ -52,7 +52,7 @@ def test_find_residue(spark):
 
 
 @pytest.mark.parametrize("lang", sorted(texts.REAL))
-def test_texts_written_without_the_tables(lang):
+def test_texts_made_by_hand(lang):
     kept = [t for t in texts.REAL[lang] if assess(t)[0] is None]
     found = [t for t in texts.RESIDUE[lang] if assess(t)[0]]
     assert len(texts.REAL[lang]) >= 50 and len(texts.RESIDUE[lang]) >= 50
